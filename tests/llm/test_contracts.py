@@ -80,3 +80,78 @@ def test_op10(spark):
     right = np.mean([r["predicted"] == labels[r["doc_id"]] for r in held])
     good = np.mean([r["predicted"] for r in held if labels[r["doc_id"]] == 1])
     assert right > 0.97 and good > 0.98
+
+
+def test_op3(spark, documents):
+    import re
+
+    got = {r["doc_id"]: r for r in rows(q.op3_mixing(spark, SF))}
+    assert got.keys() == documents.keys()
+    size = {k: len(re.findall("[^\x20\x09-\x0d]+", r["text"] or "")) for k, r in documents.items()}
+    sources = sorted({r["source"] for r in documents.values()}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[k] for k, r in documents.items() if r["source"] == s) for s in sources}
+    weight = {s: i % 3 + 1 for i, s in enumerate(sources)}
+    target, capped = {}, set()
+    while True:
+        left = sum(total.values()) - sum(3 * total[s] for s in capped)
+        shares = sum(weight[s] for s in sources if s not in capped)
+        target = {s: 3 * total[s] if s in capped else left * weight[s] / shares for s in sources}
+        over = {s for s in sources if s not in capped and target[s] > 3 * total[s]}
+        if not over:
+            break
+        capped |= over
+    taken = dict.fromkeys(sources, 0)
+    for k, r in got.items():
+        s = documents[k]["source"]
+        assert (r["size"], r["source_size"]) == (size[k], total[s]) and r["target"] == pytest.approx(target[s], rel=1e-9)
+        assert 0 <= r["taken"] <= 3 * size[k]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sources)
+    assert rows(q.op3_mixing(spark, SF).orderBy("doc_id")) == rows(q.op3_mixing(spark, SF).orderBy("doc_id"))
+
+
+def brute_line_dedup(texts, min_words):
+    """All runs of min_words words or more, later copies deleted; {id: text} -> {id: text}."""
+    lines = {i: [(k, " ".join(x.split())) for k, x in enumerate((t or "").split("\n")) if x.split()] for i, t in texts.items()}
+    first, runs, gone = {}, [], {}
+    for i in sorted(lines):
+        own = lines[i]
+        for s in range(len(own)):
+            words = 0
+            for e in range(s, len(own)):
+                words += len(own[e][1].split(" "))
+                if words >= min_words:
+                    key = tuple(x for _, x in own[s : e + 1])
+                    first.setdefault(key, (i, s))
+                    runs.append((i, s, e, key))
+                    if words > 3 * min_words:
+                        break
+    for i, s, e, key in runs:
+        if first[key][0] != i or s >= first[key][1] + len(key):
+            gone.setdefault(i, set()).update(range(lines[i][s][0], lines[i][e][0] + 1))
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) if i in gone else t for i, t in texts.items()}
+
+
+def test_op5(spark, documents):
+    want = brute_line_dedup({k: r["text"] for k, r in documents.items()}, 50)
+    got = {r["doc_id"]: r for r in rows(q.op5_line_dedup(spark, SF))}
+    assert {k: r["text"] for k, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+def test_op6(spark):
+    pages = {r["page_id"]: r["url"] for r in rows(spark.read.parquet(f"{SF}/pages.parquet"))}
+    got = {r["page_id"]: r for r in rows(q.op6_url_filter(spark, SF))}
+    assert got.keys() == pages.keys()
+    for k, url in pages.items():
+        rest = (url or "").partition("://")[2]
+        cut = min([i for c in "/?#" if (i := rest.find(c)) >= 0], default=len(rest))
+        host, tail = rest[:cut].lower(), rest[cut:]
+        path = tail[: min([i for c in "?#" if (i := tail.find(c)) >= 0], default=len(tail))]
+        fits = [(len(h + p), h + p, v) for v, h, p in q.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        r = got[k]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, max(fits)[1] if fits else None)
+        if fits:
+            assert r["verdict"] == max(fits)[2]
+        else:
+            assert r["verdict"] == ("block" if any(w in host for w in ("spam", "casino", "pills", "bets", "adult", "ads-")) else "allow")

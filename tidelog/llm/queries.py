@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, fingerprint, quality, token_files, topk
+from tidelog.llm import bpe, fingerprint, line_dedup, mixing, quality, token_files, topk, url_filter
 
 WORD_TOKENIZER, BYTE_TOKENIZER, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 
@@ -32,6 +32,23 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+
+
+#: The rules of the query (verdict, host, path).
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, url_filter.UrlModel(spark))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer_file(BYTE_TOKENIZER), END_ID)
     return out.select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
@@ -51,6 +68,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_bpe": op2_bpe,
+    "op3_mixing": op3_mixing,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_url_filter": op6_url_filter,
     "op8_token_files": op8_token_files,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,
