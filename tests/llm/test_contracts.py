@@ -124,8 +124,6 @@ def brute_line_dedup(texts, min_words):
                     key = tuple(x for _, x in own[s : e + 1])
                     first.setdefault(key, (i, s))
                     runs.append((i, s, e, key))
-                    if words > 3 * min_words:
-                        break
     for i, s, e, key in runs:
         if first[key][0] != i or s >= first[key][1] + len(key):
             gone.setdefault(i, set()).update(range(lines[i][s][0], lines[i][e][0] + 1))
