@@ -22,6 +22,7 @@ Decoding emits the labels of the arcs.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 END = ""  # stands for the end-of-word suffix inside symbol strings
 #: Words kept by each Python worker; the cache is emptied when full, so memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PIECES = 300_000, 150_000
+#: Resolved entries of the transition table kept.
+TABLE_ENTRIES = 300_000
 #: Rows and bytes of text after which a batch of results is handed on.
 OUT_ROWS, OUT_BYTES = 1024, 4 << 20
 
@@ -43,39 +46,29 @@ class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str | None):
         self.suffix = suffix or ""
         inner = (lambda s: s[: -len(suffix)] + END if s.endswith(suffix) else s) if suffix else (lambda s: s)
-        self.ids = {inner(s): i for s, i in vocab.items()}
-        self.label = {i: s for s, i in vocab.items()}
-        self.spelled = {i: s for s, i in self.ids.items()}
-        self.cut: dict[tuple[int, int], int] = {}
-        #: For each token the states its own state was copied from, with the moment of the copy.
-        self.rows: dict[int, tuple[tuple[int, int], ...]] = {}
-        #: For each token the labels its arcs were copied from, with the moment of the copy.
-        self.columns: dict[int, tuple[tuple[int, int], ...]] = {}
+        ids = {inner(s): i for s, i in vocab.items()}
+        size = max(vocab.values()) + 1
+        self.spelled: list[str] = [""] * size
+        for s, i in ids.items():
+            self.spelled[i] = s
         never = len(merges) + 1
+        #: The moment at which arc b was cut from state a, by a << 20 | b.
+        self.cut: dict[int, int] = {}
+        #: Per token: the state its own state was copied from, the label its arcs stand in for, and the moment.
+        self.row_of, self.column_of, self.made = [-1] * size, [-1] * size, [never] * size
         dead: set[int] = set()
-        made: set[int] = set()
+        merged: set[int] = set()
         for rank, (left, right) in enumerate(merges):
-            a, b, c = self.ids[inner(left)], self.ids[inner(right)], self.ids[inner(left + right)]
-            for t in (a, b):
-                self.rows.setdefault(t, ((t, never),))
-                self.columns.setdefault(t, ((t, never),))
+            a, b, c = ids[inner(left)], ids[inner(right)], ids[inner(left + right)]
             reachable = a not in dead and b not in dead and not self._is_cut(a, b)
-            self.cut.setdefault((a, b), rank)
-            if c in made:
+            self.cut.setdefault(a << 20 | b, rank)
+            if c in merged:
                 continue
-            made.add(c)
+            merged.add(c)
             if not reachable:
                 dead.add(c)
-            self.rows[c] = ((c, never), *((t, min(at, rank)) for t, at in self.rows[b]))
-            # an arc c stands where a stood after the redirection: a moment later than the copy of b's state
-            self.columns[c] = ((c, never), *((t, min(at, rank + 1)) for t, at in self.columns[a]))
-        merged = {inner(a + b) for a, b in merges}
-        self.arcs_from_start = {
-            s: i for s, i in self.ids.items() if i not in dead and (s in merged or len(s.removesuffix(END)) <= 1)
-        }
-        for i in self.arcs_from_start.values():
-            self.rows.setdefault(i, ((i, never),))
-            self.columns.setdefault(i, ((i, never),))
+            self.row_of[c], self.column_of[c], self.made[c] = b, a, rank
+        self.arcs_from_start = {s: i for s, i in ids.items() if i not in dead and (i in merged or len(s.removesuffix(END)) <= 1)}
         #: The longest label that begins with these characters (up to four).
         self.reach: dict[str, int] = {}
         for s in self.arcs_from_start:
@@ -84,19 +77,27 @@ class Automaton:
         self._shorter: dict[int, int | None] = {}
 
     def _is_cut(self, x: int, y: int) -> bool:
-        cut = self.cut
-        for u, before_u in self.rows[x]:
-            for v, before_v in self.columns[y]:
-                rank = cut.get((u, v))
-                if rank is not None and rank < before_u and rank < before_v:
+        """Whether state x lacks an arc y: it does if an original of x lost an original of y before both were copied."""
+        cut, row_of, column_of, made = self.cut, self.row_of, self.column_of, self.made
+        u, before_u = x, len(made) + len(cut) + 2
+        while u >= 0:
+            v, before = y, before_u
+            while v >= 0:
+                rank = cut.get(u << 20 | v)
+                if rank is not None and rank < before:
                     return True
+                # an arc c stands where a stood after the cut, a moment later than b's state was copied
+                before = min(before, made[v] + 1)
+                v = column_of[v]
+            before_u = min(before_u, made[u])
+            u = row_of[u]
         return False
 
     def has_arc(self, state: int, token: int) -> bool:
         key = state << 20 | token
         found = self._table.get(key)
         if found is None:
-            if len(self._table) > 4_000_000:
+            if len(self._table) >= TABLE_ENTRIES:
                 self._table.clear()
             found = self._table[key] = not self._is_cut(state, token)
         return found
@@ -171,6 +172,22 @@ def as_symbols(piece: str) -> str:
     return piece if piece.isascii() else "".join([SYMBOLS[b] for b in piece.encode()])
 
 
+class _Words(dict):
+    """Word to ids (bytes), computed when first met; emptied when full."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.make(key)
+        if len(key) < 200:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = made
+        return made
+
+
 class WordCodec:
     """Text to ids and ids to text, for a tokenizer file with an end-of-word suffix and no decoder.
 
@@ -187,60 +204,37 @@ class WordCodec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.label = self.automaton.label | {i: s for s, i in self.special.items()}
+        labels = model["vocab"] | self.special
+        self.labels: list[str] = [""] * (max(labels.values()) + 1)
+        for s, i in labels.items():
+            self.labels[i] = s
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, list[int]] = {}
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(split).findall
+        encode = self.automaton.encode
+        self.pieces = _Words(lambda piece: array("I", encode(piece)).tobytes(), CACHE_PIECES)
+        self.words = _Words(lambda word: b"".join(self._parts(word)), CACHE_WORDS)
 
-    def _pieces(self, word: str) -> Iterator[str | int]:
+    def _parts(self, word: str) -> Iterator[bytes]:
         hits = [(word.find(s), s) for s in self.special if s in word]
         if hits:
             at, s = min(hits)
-            yield from self._pieces(word[:at])
-            yield self.special[s]
-            yield from self._pieces(word[at + len(s) :])
+            yield from self._parts(word[:at])
+            yield array("I", [self.special[s]]).tobytes()
+            yield from self._parts(word[at + len(s) :])
         elif PLAIN(word):  # composed already, lower-cased and split alike by Python
-            yield from map(as_symbols, self.split(word.lower()))
+            for piece in self.split(word.lower()):
+                yield self.pieces[piece if piece.isascii() else as_symbols(piece)]
         elif word:
             for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(word)):
-                yield piece
-
-    def word(self, word: str) -> tuple[bytes, str]:
-        found = self.cache.get(word)
-        if found is None:
-            ids: list[int] = []
-            for piece in self._pieces(word):
-                if isinstance(piece, int):
-                    ids.append(piece)
-                    continue
-                path = self.pieces.get(piece)
-                if path is None:
-                    path = self.automaton.encode(piece)
-                    if len(piece) < 200:
-                        if len(self.pieces) >= CACHE_WORDS:
-                            self.pieces.clear()
-                        self.pieces[piece] = path
-                ids += path
-            found = np.array(ids, "<u4").tobytes(), " ".join([self.label[i] for i in ids])
-            if len(word) < 200:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = found
-        return found
+                yield self.pieces[piece]
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, the decoded text)."""
-        words = split_words(text)
-        get, word = self.cache.get, self.word
-        got = [get(w) or word(w) for w in words]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.words.__getitem__, split_words(text)))
 
     def decode(self, ids: bytes) -> str:
-        label = self.label
-        return " ".join([label[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 #: The characters that str.split() takes for white space though Unicode's White_Space property does not.
@@ -278,7 +272,8 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
             rows: list[list] = [[], [], [], []]
             size = 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, decoded = c.encode(text.as_py() or "")
+                ids = c.encode(text.as_py() or "")
+                decoded = c.decode(ids)
                 for column, value in zip(rows, (key, len(ids) // 4, ids, decoded), strict=True):
                     column.append(value)
                 size += len(ids) + len(decoded)
