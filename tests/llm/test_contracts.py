@@ -153,3 +153,54 @@ def test_op6(spark):
             assert r["verdict"] == max(fits)[2]
         else:
             assert r["verdict"] == ("block" if any(w in host for w in ("spam", "casino", "pills", "bets", "adult", "ads-")) else "allow")
+
+
+def brute_components(texts, width, least, of):
+    """{id: (set size, component)} by comparing every two documents that share a shingle."""
+    import re
+    from collections import defaultdict
+
+    sets, at, parent = {}, defaultdict(list), {}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for i, t in texts.items():
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(lower))
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+        parent[i] = i
+        for s in sets[i]:
+            at[s].append(i)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, own in sets.items():
+        common = defaultdict(int)
+        for s in own:
+            for j in at[s]:
+                common[j] += j < i
+        for j, k in common.items():
+            if k and of * k >= least * (len(own) + len(sets[j]) - k):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_op4(spark, documents):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(q.op4_ngram_join(spark, SF))}
+    assert got == brute_components({k: r["text"] for k, r in documents.items()}, 4, 85, 100)
+
+
+def test_op7(spark):
+    import html as h
+    import re
+
+    pages = {r["page_id"]: r for r in rows(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))}
+    got = {r["page_id"]: r for r in rows(q.op7_html_extraction(spark, "/root/testdata/sf0.01"))}
+    assert got.keys() == pages.keys()
+    for k, page in pages.items():
+        body = re.search(r"<article>(.*?)(</article>|\Z)", page["html"], re.S)[1]
+        body = re.sub(r"<[^<>]*\Z", "", body)
+        blocks = (" ".join(h.unescape(re.sub("</?b>|<br>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", body))
+        assert got[k]["text"] == "\n".join(b for b in blocks if b) and got[k]["n_chars"] == len(got[k]["text"])
+        assert got[k]["url"] == page["url"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, fingerprint, line_dedup, mixing, quality, token_files, topk, url_filter
+from tidelog.llm import bpe, fingerprint, html_extract, line_dedup, mixing, ngram_join, quality, token_files, topk, url_filter
 
 WORD_TOKENIZER, BYTE_TOKENIZER, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 
@@ -37,6 +37,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), width=4, sim=ngram_join.Similarity(85, 100))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
 
@@ -49,6 +53,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, url_filter.UrlModel(spark))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer_file(BYTE_TOKENIZER), END_ID)
     return out.select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
@@ -69,8 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
+    "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_html_extraction": op7_html_extraction,
     "op8_token_files": op8_token_files,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,
