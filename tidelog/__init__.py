@@ -1,0 +1 @@
+"""Analytics over append-only, time-ordered event logs, on Spark DataFrames."""
