@@ -15,7 +15,10 @@ runs of zeros.
 
 from __future__ import annotations
 
+import struct
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,55 +28,87 @@ from pyspark.sql import functions as F
 from tidelog.llm.store import n_partitions, new_path
 
 MAGIC = b"S8B1"
+HEADER = struct.Struct("<II").unpack_from
 BLOCK = 4096
 #: Values a word and bits a value, by selector, of the published Simple-8b scheme.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-#: Distinct pieces kept by each Python worker.
-CACHE_PIECES = 500_000
+#: Bytes of ids that are packed together.
+GROUP_BYTES = 2 << 20
+#: Distinct pieces of a generation of the cache that each Python worker keeps.
+CACHE_PIECES = 280_000
 
 
-def pack_block(ids: np.ndarray) -> np.ndarray:
-    """Simple-8b words of one block: at each place the selector that takes most values."""
+def _widths(ids: np.ndarray) -> np.ndarray:
+    if len(ids) and int(ids.max()) >> 60:
+        raise ValueError("a value does not fit in 60 bits")
+    if not len(ids) or int(ids.max()) < 1 << 52:  # exact as doubles, whose exponent is the width
+        return np.frexp(ids.astype(np.float64))[1].astype(np.int8)
+    return np.array([int(x).bit_length() for x in ids.tolist()], np.int8)
+
+
+def pack_all(ids: np.ndarray, lengths: list[int]) -> list[bytes]:
+    """Payloads of consecutive documents whose ids are laid end to end; each word takes as many ids as fit."""
     n = len(ids)
     ids = ids.astype(np.uint64)
-    if n and int(ids.max()) >> 60:
-        raise ValueError("a value does not fit in 60 bits")
-    width = np.zeros(n, np.int64)
-    rest = ids.copy()
-    while rest.any():
-        width += rest > 0
-        rest >>= np.uint64(1)
-    best = np.full(n, 15)
-    for sel in range(14, -1, -1):  # from few values to many: the last that fits stays
+    bounds = np.cumsum([0, *lengths])
+    starts = np.concatenate([np.zeros(0, np.int64), *[np.arange(lo, hi, BLOCK) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]])
+    ends = np.append(starts, n)[1:]
+    left = np.repeat(ends, ends - starts) - np.arange(n)  # ids up to the end of the block
+    width = _widths(ids)
+    best = np.full(n, 15, np.int8)
+    widest, at = int(width.max(initial=0)), None
+    for sel in range(14, -1, -1):  # from few values to many: where one doesn't fit, none of those with more does
         count = int(COUNTS[sel])
-        if count > n or (sel < 2 and ids.all()):
-            continue
-        wide = np.concatenate([[0], np.cumsum(width > WIDTHS[sel])])
-        fits = (wide[count:] - wide[:-count]) == 0
-        best[: n - count + 1][fits] = sel
+        if count > n:
+            break
+        run = None
+        if widest > WIDTHS[sel]:
+            run = np.zeros(n + 1, np.int32)
+            np.cumsum(width <= WIDTHS[sel], dtype=np.int32, out=run[1:])
+        if at is None:  # most places still fit: whole slices are faster than indexes
+            fits = left[: n - count + 1] >= count
+            if run is not None:
+                fits &= run[count:] - run[:-count] == count
+            best[: n - count + 1][fits] = sel
+            if sel <= 12:
+                at = np.flatnonzero(fits)
+        else:
+            at = at[left[at] >= count]
+            if run is not None:
+                at = at[run[at + count] - run[at] == count]
+            best[at] = sel
+            if not len(at):
+                break
     jump = COUNTS[best].tolist()
-    at, starts = 0, []
+    at, first = 0, []
+    add = first.append
     while at < n:
-        starts.append(at)
+        add(at)
         at += jump[at]
-    first = np.array(starts, np.int64)
+    first = np.array(first, np.int64)
     sel = best[first]
     words = sel.astype(np.uint64) << np.uint64(60)
-    for s in np.unique(sel):
+    for s in np.unique(sel).tolist():
         if s > 1:
-            here = first[sel == s]
-            part = np.zeros(len(here), np.uint64)
-            for k in range(COUNTS[s]):
-                part |= ids[here + k] << np.uint64(k * WIDTHS[s])
-            words[sel == s] |= part
-    return words
+            mine = np.flatnonzero(sel == s)
+            here, part = first[mine], np.zeros(len(mine), np.uint64)
+            for k in range(int(COUNTS[s])):
+                part |= ids[here + k] << np.uint64(k * int(WIDTHS[s]))
+            words[mine] |= part
+    block_word = np.searchsorted(first, starts)  # a word begins at each block's start
+    doc_block = np.searchsorted(starts, bounds)
+    doc_word = np.searchsorted(first, bounds)
+    data = words.astype("<u8").tobytes()
+    out = []
+    for k, length in enumerate(lengths):
+        offsets = block_word[doc_block[k] : doc_block[k + 1]] - doc_word[k] if length else block_word[:0]
+        out.append(MAGIC + np.array([length, len(offsets)], "<u4").tobytes() + offsets.astype("<u4").tobytes() + data[8 * doc_word[k] : 8 * doc_word[k + 1]])
+    return out
 
 
 def pack(ids: np.ndarray) -> bytes:
-    blocks = [pack_block(ids[k : k + BLOCK]) for k in range(0, len(ids), BLOCK)]
-    offsets = np.cumsum([0, *map(len, blocks)])[:-1].astype("<u4")
-    return MAGIC + np.array([len(ids), len(blocks)], "<u4").tobytes() + offsets.tobytes() + b"".join([b.astype("<u8").tobytes() for b in blocks])
+    return pack_all(np.asarray(ids), [len(ids)])[0]
 
 
 def unpack_words(words: np.ndarray) -> np.ndarray:
@@ -87,10 +122,27 @@ def unpack_words(words: np.ndarray) -> np.ndarray:
     return (np.repeat(words, counts) >> shift) & np.repeat(mask, counts)
 
 
+def unpack_all(payloads: list[bytes]) -> list[bytes]:
+    """Ids of each payload as little-endian unsigned 32-bit integers, decoded together; ids that need more bits are refused."""
+    lengths, words = [], []
+    for payload in payloads:
+        if payload[:4] != MAGIC:
+            raise ValueError("not a token file")
+        n, n_blocks = HEADER(payload, 4)
+        lengths.append(n)
+        words.append(payload[12 + 4 * n_blocks :])
+    ids = unpack_words(np.frombuffer(b"".join(words), "<u8"))
+    if len(ids) and int(ids.max()) >> 32:
+        raise ValueError("an id does not fit in 32 bits")
+    data = ids.astype("<u4").tobytes()
+    ends = [4 * e for e in accumulate(lengths, initial=0)]
+    return [data[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+
 def unpack(payload: bytes) -> np.ndarray:
     if payload[:4] != MAGIC:
         raise ValueError("not a token file")
-    n, n_blocks = np.frombuffer(payload, "<u4", 2, 4).tolist()
+    n, n_blocks = HEADER(payload, 4)
     return unpack_words(np.frombuffer(payload, "<u8", offset=12 + 4 * n_blocks))[:n]
 
 
@@ -102,53 +154,87 @@ def unpack_part(payload: bytes, block: int) -> np.ndarray:
     return unpack_words(words[offsets[block] : offsets[block + 1] if block + 1 < n_blocks else None])
 
 
+#: Fixed value: parts chunks of a text; a text that holds it goes to the library whole.
+PART = "\x1f"
+
+
 class PieceEncoder:
-    """The library's ids, with those of each piece between single spaces kept.
+    """The library's ids, with those of each chunk between single spaces kept.
 
-    The byte-level pre-tokenizer starts a new piece at a single space or line
-    feed between two other characters, so such stretches can be encoded one by
-    one; a text with any other white space goes to the library whole.
+    The byte-level pre-tokenizer begins a new piece at a single space, and at
+    either side of a single line feed, between two other characters, so such
+    chunks can be encoded one by one; a text with any other white space goes to
+    the library whole.
     """
 
     def __init__(self, path: str):
-        import regex
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.odd = regex.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z|[\x1c-\x1f]").search
         self.whole_only = any(t.lstrip or t.rstrip or t.normalized for t in self.library.get_added_tokens_decoder().values())
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.feed = self._ids("\n")
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _miss(self, cache: dict[str, bytes], word: str, text: str) -> bytes:
-        ids = self._ids(text)
-        if len(word) < 200:
-            if len(cache) >= CACHE_PIECES:
-                cache.clear()
-            cache[word] = ids
-        return ids
+        #: Two generations: a chunk that isn't met while the younger one fills is forgotten.
+        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.feed = self._whole("\n")
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _add(self, chunks: list[str]) -> None:
+        """Encode new chunks as one text, in which each begins a piece, and cut the ids where they begin.
+
+        Chunks that begin with a space come first; each other one stands behind
+        a line feed, whose own id belongs to no chunk.
+        """
+        spaced = [c for c in chunks if c[0] == " "]
+        heads = [c for c in chunks if c[0] != " "]
+        got = self.library.encode("".join(spaced) + "".join(["\n" + c for c in heads]), add_special_tokens=False)
+        ids, tokens = array("I", got.ids).tobytes(), np.array([a for a, _ in got.offsets])
+        cut = list(accumulate(map(len, spaced), initial=0))
+        for c in heads:
+            cut += [cut[-1] + 1, cut[-1] + 1 + len(c)]
+        at = (4 * np.searchsorted(tokens, cut)).tolist()
+        n = len(spaced)
+        self.chunks.update(zip(spaced, map(ids.__getitem__, map(slice, at, at[1 : n + 1])), strict=True))
+        self.chunks.update(zip(heads, map(ids.__getitem__, map(slice, at[n + 1 :: 2], at[n + 2 :: 2])), strict=True))
 
     def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.whole_only or self.odd(text):
-            return self._ids(text)
-        first, spaced = self.first.get, self.spaced.get
-        out = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            head = words[0]
-            out.append(first(head) or self._miss(self.first, head, head))
-            out += [spaced(w) or self._miss(self.spaced, w, " " + w) for w in words[1:]]
-            out.append(self.feed)
-        out.pop()
-        return b"".join(out)
+        if self.whole_only or PART in text:
+            return self._whole(text)
+        chunks = text.replace(" ", PART + " ").replace("\n", PART + "\n" + PART).split(PART)
+        cache = self.chunks
+        cache["\n"] = self.feed
+        seen = set(chunks)
+        if "" in seen or " " in seen:  # spaces together or at an end of a line
+            return self._whole(text)
+        missing = seen.difference(cache)
+        if missing:
+            if not text.replace("\n", " ").isprintable() and any(c.split() != [c[1:] if c[0] == " " else c] for c in missing):
+                return self._whole(text)  # white space of another kind
+            if len(cache) + len(missing) > CACHE_PIECES:  # what was met since the last time, or is met again, stays
+                self.older, self.chunks = cache, {c: cache[c] for c in seen if c in cache}
+                cache = self.chunks
+            older = self.older
+            if older:
+                for chunk in [c for c in missing if c in older]:
+                    cache[chunk] = older[chunk]
+                    missing.discard(chunk)
+            if missing:
+                self._add(list(missing))
+        ids = b"".join(map(cache.__getitem__, chunks))
+        if missing and len(max(missing, key=len)) >= 200:
+            for chunk in missing:
+                if len(chunk) >= 200:
+                    del cache[chunk]
+        return ids
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -174,20 +260,31 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
-        rows: list[tuple] = []
+        keys: list[int] = []
+        held: list[bytes] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal at
+            lengths = [len(x) // 4 for x in held]
+            starts = (at + np.cumsum([0, *lengths])).tolist()
+            payloads = pack_all(np.frombuffer(b"".join(held), "<u4"), lengths)
+            columns = [part] * len(keys), keys[:], starts[:-1], lengths, payloads
+            at = starts[-1]
+            keys.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
         size = 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(enc.encode(text.as_py() or "") + end, "<u4")
-                payload = pack(ids)
-                rows.append((part, key, at, len(ids), payload))
-                at += len(ids)
-                size += len(payload)
-                if size > 4 << 20 or len(rows) >= 2048:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                keys.append(key)
+                held.append(enc.encode(text.as_py() or "") + end)
+                size += len(held[-1])
+                if size >= GROUP_BYTES or len(keys) >= 2048:
+                    yield flush()
+                    size = 0
+        if keys:
+            yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(n_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -204,9 +301,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                b = batch.slice(lo, 1024)
-                ids = [unpack(p.as_buffer().to_pybytes()).astype("<u4").tobytes() for p in b.column(3)]
+            for lo in range(0, batch.num_rows, 512):
+                b = batch.slice(lo, 512)
+                ids = unpack_all(b.column(3).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], schema=schema)
 
     files = spark.read.schema("part int, doc_id long, local_start long, n_tokens long, payload binary").parquet(path)
