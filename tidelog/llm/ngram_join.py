@@ -2,22 +2,29 @@
 
 A document's set is that of its word n-grams, as 64-bit hashes.  Documents with
 one set are one node.  In a size band at most ``d`` elements can differ between
-two linked sets.  Each set is XOR-ed into a sketch of ``d + 1 + spare`` parts of
-64 bits (an element flips one bit of one part), so the Hamming distance of two
-sketches is at most the size of the symmetric difference, and by the pigeonhole
-principle at least ``spare + 1`` parts of linked sets are equal.  Sets are
-joined on (band, part, value), and candidates are verified on their texts.
+two linked sets.  Each set is XOR-ed into a sketch of parts of 64 bits (an
+element flips one bit of one part), so the Hamming distance of two sketches is
+at most the size of the symmetric difference and, by the pigeonhole principle,
+of ``d + 1 + light + common`` parts at least ``1 + light + common`` of linked
+sets are equal.  Sets are joined on (band, part, value).
 
-Parts with very few bits set collide by chance.  A set with at most ``spare`` of
-them doesn't send them: of its ``spare + 1`` or more parts that equal a linked
-set's at least one is then sent, by both sides.  A set with more sends all.
+Parts that collide by chance or stem from passages that many documents share
+are left out: each set leaves out its ``light`` parts with the fewest bits and
+then its ``common`` parts whose values most sets have.  Both orders depend on
+the part alone, so among the parts that two linked sets have in common the last
+in order has so many before it, in either set, that neither leaves it out.
+
+Candidates are compared by a wider sketch first (its Hamming distance bounds
+the difference from below) and by their texts then.
 
 A key shared by many sets isn't expanded into pairs.  Its smallest member, the
-pivot, meets all others; then it leaves, and the members go on as long as they
-are not all in one component.  Groups of few members that are left meet all at
-once.
+pivot, meets all others first; most groups are one component then and done.  In
+the others the outlines of members of different components are compared as
+matrices, which send on only the pairs that are close: a group at a time, up to
+a bounded size.  The members of all larger groups of a band are packed into
+blocks of that size, once, however many keys they share; pairs of blocks are
+compared, but not two of one and the same component.
 """
-
 from __future__ import annotations
 
 import gc
@@ -33,10 +40,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import connected_components
-from tidelog.llm.store import discard, materialize
+from tidelog.llm.store import discard, materialize, n_partitions
 
-#: A group of so many members at most is expanded into all its pairs, once its pivot has met all.
-SMALL_GROUP = 24
+#: Groups of so many members at most are compared one by one; the members of larger ones in blocks of so many outlines.
+GROUP, BLOCK = 128, 1024
+#: Ids up to which the documents to verify are found by broadcast; more are found by a shuffle join.
+BROADCAST_IDS = 100_000
 #: Word hashes kept by each Python worker.
 CACHE_WORDS = 150_000
 U = np.uint64
@@ -100,20 +109,15 @@ class Similarity:
         """The most elements in which linked sets of these sizes differ."""
         return (a + b) * (self.of - self.least) // (self.of + self.least)
 
-    @property
-    def light(self) -> int:
-        """Bits of a part that doesn't count for much."""
-        return 2 if 6 * self.least >= 5 * self.of else 1
-
-    def parts(self, d: int) -> tuple[int, int]:
-        """(parts, spare) where at most d elements differ."""
-        spare = -(-d * (3 if self.light == 2 else 6) // 20)
-        return d + 1 + spare, spare
+    def parts(self, d: int) -> tuple[int, int, int]:
+        """(parts, light, common) where at most d elements differ."""
+        spare = -(-3 * d // 20)
+        return d + 1 + 2 * spare, spare, spare
 
 
 @lru_cache(64)
-def bands(sim: Similarity, upto: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """(starts, [(parts, spare, largest size that meets the band)]): a set meets those of its own band and of the next."""
+def bands(sim: Similarity, upto: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """(starts, [(parts, light, common, largest size that meets the band)]): a set meets those of its own band and of the next."""
     starts, rest, lo = [], [], 1
     while lo <= upto:
         hi = sim.largest(lo)  # the last size of the band
@@ -131,24 +135,43 @@ def sketch(h: np.ndarray, parts: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<u8")
 
 
-def keys_of(h: np.ndarray, sim: Similarity) -> np.ndarray:
-    """Join keys of a set: for its own band and, as the larger partner, for the one below."""
+def keys_of(h: np.ndarray, sim: Similarity) -> list[tuple[np.ndarray, int]]:
+    """[(join keys, marks)]: for the set's own band and, as the larger partner, for the one below.
+
+    Marks hold the band and how many keys may be left out as common in it.
+    """
     n = len(h)
     starts, rest = bands(sim, 1 << max(10, int(n).bit_length()))
     own = int(np.searchsorted(starts, n, "right")) - 1
     out = []
     for band in (own, own - 1):
-        if band < 0 or n > rest[band][2]:
+        if band < 0 or n > rest[band][3]:
             continue
-        parts, spare, _ = rest[band]
+        parts, light, common, _ = rest[band]
         value = sketch(h, parts)
-        index = np.arange(parts, dtype=U)
-        if spare:
-            light = np.bitwise_count(value) <= sim.light
-            if int(light.sum()) <= spare:
-                value, index = value[~light], index[~light]
-        out.append(mix(mix(value + ODD * (index + U(1))) ^ U((band + 1) * int(MIX1) & 0xFFFFFFFFFFFFFFFF)))
-    return np.concatenate(out)
+        keys = mix(value + ODD * np.arange(1, parts + 1, dtype=U))
+        keys = keys[np.lexsort((keys, np.bitwise_count(value)))[light:]]
+        out.append((mix(keys ^ U((band + 1) * int(MIX1) & 0xFFFFFFFFFFFFFFFF)), band << 32 | common))
+    return out
+
+
+def outline(h: np.ndarray, sim: Similarity) -> bytes:
+    """Wider sketch for comparing two sets: a power of two of bits, some sixteen for each element that may differ."""
+    bits = 64
+    while bits < 16 * sim.apart(len(h), sim.largest(len(h))):
+        bits *= 2
+    odd = (np.bincount((h >> U(20) & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def outlines_apart(a: bytes, b: bytes) -> int:
+    """Hamming distance; the longer outline is folded to the shorter's width first, which keeps it a parity sketch."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _node(h: np.ndarray, seed: int) -> tuple[int, int]:
@@ -156,26 +179,27 @@ def _node(h: np.ndarray, seed: int) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(data, seed=seed) - (1 << 63), xxhash.xxh3_64_intdigest(data, seed=seed + 1000) - (1 << 63)
 
 
-def _sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """doc_id, n, node, check: the size of each document's set and two hashes of it."""
+def _sets(docs: DataFrame, width: int, sim: Similarity, seed: int) -> DataFrame:
+    """doc_id, n, node, check, outline: the size of each document's set, two hashes and the outline of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, check = [], [], []
+            n, node, check, lines = [], [], [], []
             for text in batch.column(1):
                 h = shingles(text.as_py(), width)
                 x, y = _node(h, seed)
                 n.append(len(h))
                 node.append(x)
                 check.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in (n, node, check))], names=["doc_id", "n", "node", "check"])
+                lines.append(outline(h, sim))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in (n, node, check)), pa.array(lines, pa.binary())], names=["doc_id", "n", "node", "check", "outline"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, outline binary")
 
 
 def _keyed(docs: DataFrame, width: int, sim: Similarity, seed: int) -> DataFrame:
-    """key, node: a row for each join key of each distinct set (repeats within a task are left out)."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+    """key, node, marks: a row for each join key of each distinct set (repeats within a task are left out)."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("marks", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -191,22 +215,23 @@ def _keyed(docs: DataFrame, width: int, sim: Similarity, seed: int) -> DataFrame
                 if len(met) >= 200_000:
                     met.clear()
                 met.add(x)
-                k = keys_of(h, sim)
-                keys.append(k)
-                nodes.append((x, len(k)))
-                size += len(k)
+                for k, marks in keys_of(h, sim):
+                    keys.append(k)
+                    nodes.append((x, marks, len(k)))
+                    size += len(k)
                 if size >= 200_000:
                     yield _batch(keys, nodes, schema)
                     keys, nodes, size = [], [], 0
             if keys:
                 yield _batch(keys, nodes, schema)
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(run, "key long, node long, marks long")
 
 
-def _batch(keys: list[np.ndarray], nodes: list[tuple[int, int]], schema: pa.Schema) -> pa.RecordBatch:
-    node = np.repeat(np.array([x for x, _ in nodes], np.int64), np.array([k for _, k in nodes]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node)], schema=schema)
+def _batch(keys: list[np.ndarray], nodes: list[tuple[int, int, int]], schema: pa.Schema) -> pa.RecordBatch:
+    node, marks, times = zip(*nodes, strict=True)
+    columns = np.repeat(np.array(node, np.int64), times), np.repeat(np.array(marks, np.int64), times)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, columns)], schema=schema)
 
 
 def _packed_texts(docs: DataFrame) -> DataFrame:
@@ -220,6 +245,23 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, z binary")
 
 
+def _close(pairs: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
+    """Of the pairs (a, b) those that sizes and outlines don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, m, n = (batch.column(k).to_pylist() for k in range(4))
+            keep = []
+            for x, y, i, j in zip(m, n, batch.column(4), batch.column(5), strict=True):
+                lo, hi = (x, y) if x < y else (y, x)
+                keep.append(sim.largest(lo) >= hi and outlines_apart(i.as_py(), j.as_py()) <= sim.apart(lo, hi))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c, n, o: nodes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("outline").alias(o))
+    rows = pairs.join(side("a", "m", "o"), "a").join(side("b", "n", "q"), "b").select("a", "b", "m", "n", "o", "q")
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, sim: Similarity) -> DataFrame:
     """Of the pairs (a, b) those whose sets are linked."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -247,12 +289,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, sim: Similarity) -
                 x, y = of(a, za), of(b, zb)
                 if len(x) > len(y):
                     x, y = y, x
-                if sim.largest(len(x)) < len(y):
-                    continue
-                d = sim.apart(len(x), len(y))
-                parts = sim.parts(d)[0]
-                if int(np.bitwise_count(sketch(x, parts) ^ sketch(y, parts)).sum()) > d:
-                    continue
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 if sim.linked(len(x), len(y), int((y[at] == x).sum())):
                     out.append((a, b))
@@ -263,6 +299,118 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, sim: Similarity) -
     return rows.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
+def _folded(lines: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(lines.reshape(len(lines), -1, words), axis=1)
+
+
+def _close_pairs(one: tuple, two: tuple, sim: Similarity, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different roots that sizes and outlines don't rule out.  Each side: nodes, roots, sizes, outlines (a row each)."""
+    (a, ra, na, x), (b, rb, nb, y) = one, two
+    words = min(x.shape[1], y.shape[1])
+    x, y = _folded(x, words), _folded(y, words)
+    apart = np.zeros((len(a), len(b)), np.uint32)
+    for k in range(words):
+        apart += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+    lo, hi = np.minimum(na[:, None], nb[None]), np.maximum(na[:, None], nb[None])
+    close = (apart <= (lo + hi) * (sim.of - sim.least) // (sim.of + sim.least)) & (sim.of * lo >= sim.least * hi) & (ra[:, None] != rb[None])
+    i, j = np.nonzero(np.triu(close, 1) if same else close)
+    return np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+
+
+def _side(nodes: list[int], roots: list[int], sizes: list[int], lines: list[bytes]) -> tuple:
+    """Outlines of several widths are folded to the shortest."""
+    words = min(map(len, lines)) // 8
+    rows = np.stack([_folded(np.frombuffer(x, "<u8")[None], words)[0] for x in lines])
+    return np.array(nodes, np.int64), np.array(roots, np.int64), np.array(sizes, np.int64), rows
+
+
+def _group_pairs(groups: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
+    """Close pairs (a, b) of different roots within each key.  ``groups``: key, node, root; at most GROUP rows a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, found, count = None, [], [], 0
+
+        def compared() -> list[tuple[np.ndarray, np.ndarray]]:
+            _, node, root, size, lines = zip(*held, strict=True)
+            side = _side(node, root, size, lines)
+            return [_close_pairs(side, side, sim, True)]
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != key:
+                    found += compared()
+                    count += len(found[-1][0])
+                    held = []
+                    if count > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+                        found, count = [], 0
+                key = row[0]
+                held.append(row)
+        if held:
+            found += compared()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    rows = groups.join(nodes.select("node", "n", "outline"), "node").select("key", "node", "root", "n", "outline")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def _block_pairs(members: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
+    """Close pairs (a, b) of different roots within a band.  ``members``: band, node, root.
+
+    Members are laid in order of band and root and packed into blocks, and pairs
+    of blocks are joined by band.
+    """
+    fields = [("band", pa.int64()), ("block", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("nodes", pa.binary()), ("roots", pa.binary()), ("sizes", pa.binary()), ("words", pa.int64()), ("outlines", pa.binary())]
+    schema, ddl = pa.schema(fields), ", ".join(f"{k} {'binary' if t == pa.binary() else 'long'}" for k, t in fields)
+
+    def block(part: int, number: int, rows: list[tuple]) -> pa.RecordBatch:
+        band, node, root, size, lines = zip(*rows, strict=True)
+        *packed, outlines = _side(node, root, size, lines)
+        values = band[0], part << 32 | number, min(root), max(root), *(v.tobytes() for v in packed), outlines.shape[1], outlines.tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number, held = TaskContext.get().partitionId(), 0, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (held[0][0] != row[0] or len(held) == BLOCK):
+                    yield block(part, number, held)
+                    number, held = number + 1, []
+                held.append(row)
+        if held:
+            yield block(part, number, held)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                one, two = ((*(np.frombuffer(row[c + t], np.int64) for c in ("nodes", "roots", "sizes")), np.frombuffer(row["outlines" + t], "<u8").reshape(-1, row["words" + t])) for t in ("", "_2"))
+                a, b = _close_pairs(one, two, sim, row["block"] == row["block_2"])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rows = members.distinct().join(nodes.select("node", "n", "outline"), "node").select("band", "node", "root", "n", "outline")
+    blocks = rows.repartitionByRange(n_partitions(members.sparkSession), "band", "root", "node").sortWithinPartitions("band", "root", "node").mapInArrow(pack, ddl)
+    blocks = materialize(blocks, "blocks")
+    other = blocks.select("band", *[F.col(k).alias(f"{k}_2") for k, _ in fields[1:]])
+    pairs = blocks.join(other, "band").filter("block <= block_2 and not (lo = hi and lo = lo_2 and lo_2 = hi_2)")
+    return pairs.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _texts_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, z: the packed text of one document of each node of the pairs."""
+    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(met.join(nodes, "node").select(F.col("rep").alias("doc_id"), "node"), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        found = _packed_texts(rows.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(wanted), "doc_id")
+    else:
+        found = wanted.join(_packed_texts(rows), "doc_id")
+    return materialize(found.dropDuplicates(["node"]).select("node", "z"), "texts")
+
+
 def _release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written."""
     gc.collect()
@@ -270,10 +418,23 @@ def _release(spark: SparkSession) -> None:
 
 
 def _several(groups: DataFrame, value: str) -> DataFrame:
-    """Rows of the keys under which more than one ``value`` stands, with the group's pivot and size."""
+    """Rows of the keys under which more than one ``value`` stands."""
     key = Window.partitionBy("key")
-    marked = groups.withColumn("lo", F.min(value).over(key)).withColumn("hi", F.max(value).over(key)).withColumn("pivot", F.min("node").over(key)).withColumn("members", F.count("*").over(key))
-    return marked.filter("lo != hi").drop("lo", "hi")
+    return groups.withColumn("_lo", F.min(value).over(key)).withColumn("_hi", F.max(value).over(key)).filter("_lo != _hi").drop("_lo", "_hi")
+
+
+def _candidate_groups(rows: DataFrame, width: int, sim: Similarity, seed: int) -> DataFrame:
+    """key, node, band: keys of several sets, without those that their sets leave out."""
+    seen, key = Window.partitionBy("key").orderBy("node"), Window.partitionBy("key")
+    # a set met by several tasks counts once
+    once = _keyed(rows, width, sim, seed).withColumn("_last", F.lag("node").over(seen)).filter("_last is null or _last != node").drop("_last")
+    shared = materialize(once.withColumn("sets", F.count("*").over(key)).filter("sets > 1"), "shared")
+    band, common = F.shiftright("marks", 32), F.col("marks").bitwiseAND(0xFFFFFFFF)
+    order = Window.partitionBy("node", "marks").orderBy(F.desc("sets"), "key")
+    kept = shared.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") > common).select("key", "node", band.alias("band"))
+    groups = materialize(_several(kept, "node"), "groups")
+    discard(shared)
+    return groups
 
 
 def ngram_components(docs: DataFrame, width: int = 5, sim: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,47 +449,31 @@ def ngram_components(docs: DataFrame, width: int = 5, sim: Similarity | None = N
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     for seed in range(1, 100):
-        sets = materialize(_sets(rows, width, seed), "sets")
-        nodes = materialize(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("x"), F.max("check").alias("y")), "nodes")
+        sets = materialize(_sets(rows, width, sim, seed), "sets")
+        one = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("outline").alias("outline"), F.min("check").alias("x"), F.max("check").alias("y"))
+        nodes = materialize(one, "nodes")
         if nodes.filter("x != y").isEmpty():  # no two sets share a node
             break
-    # keys under which more than one set stands; a set met by several tasks counts once
-    seen = Window.partitionBy("key").orderBy("node")
-    once = _keyed(rows, width, sim, seed).withColumn("last", F.lag("node").over(seen)).filter("last is null or last != node").drop("last")
-    groups = materialize(_several(once, "node"), "groups")
-    del once
+    groups = _candidate_groups(rows, width, sim, seed)
     _release(spark)
-    met = groups.select("node").distinct()
-    wanted = met.join(nodes, "node").select("rep", "node")
-    texts = materialize(wanted.join(_packed_texts(rows), F.col("rep") == F.col("doc_id")).dropDuplicates(["node"]).select("node", "z"), "texts")
+    # the pivot of each key meets all others
+    pivot = F.min("node").over(Window.partitionBy("key"))
+    star = groups.withColumn("a", pivot).filter("a != node")
+    close = materialize(_close(star.select("a", F.col("node").alias("b")).distinct(), nodes, sim), "close")
+    links = materialize(_verified(close, _texts_of(close, nodes, rows), width, sim), "found")
+    components = connected_components(links)
+    left = star.drop("a").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = materialize(_several(left, "root").withColumn("members", F.count("*").over(Window.partitionBy("key"))), "left")
     _release(spark)
-    links, tested, components = None, None, None
-    while True:
-        star = groups.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        if components is not None:
-            # members that are left in small groups meet all at once, but for those in one component
-            few = groups.filter(F.col("members") <= SMALL_GROUP).select("key", "node", "root")
-            other = few.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            all_pairs = few.join(other, "key").filter("node < b and root != root_b").select(F.col("node").alias("a"), "b")
-            star = groups.filter((F.col("members") > SMALL_GROUP) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(all_pairs)
-        pairs = star.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = materialize(_verified(pairs, texts, width, sim), "found")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        components = connected_components(links)
-        _release(spark)
-        # a pivot has met its whole group and leaves; small groups are done after they met all at once
-        left = groups.filter("node != pivot")
-        left = left.filter(F.col("members") > (2 if "root" not in groups.columns else SMALL_GROUP)).select("key", "node")
-        left = left.join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        new = materialize(_several(left, "root"), "groups")
-        discard(groups)
-        groups = new
-        if groups.isEmpty():
-            break
+    if not left.isEmpty():
+        few = left.filter(F.col("members") <= GROUP).select("key", "node", "root")
+        many = left.filter(F.col("members") > GROUP).select("band", "node", "root")
+        pairs = _group_pairs(few, nodes, sim)
+        if not many.isEmpty():
+            pairs = pairs.unionByName(_block_pairs(many, nodes, sim)).distinct()
+        close = materialize(pairs, "close")
+        found = materialize(_verified(close, _texts_of(close, nodes, rows), width, sim), "found")
+        components = connected_components(links.unionByName(found))
     named = nodes.join(components, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = named.join(smallest, "root").select("node", "component_id")
