@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, fingerprint, html_extract, line_dedup, mixing, ngram_join, quality, token_files, topk, url_filter
+from tidelog.llm import bpe, fingerprint, html_extract, line_dedup, mixing, ngram_join, oracles, quality, token_files, topk, url_filter
 
 WORD_TOKENIZER, BYTE_TOKENIZER, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 
@@ -88,15 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_exact_top_k": """
-        WITH v AS (
-          SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-          FROM embeddings
-          WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-        ), s AS (
-          SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
-          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
-        ), r AS (
-          SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
-        ) SELECT * FROM r WHERE rank <= 5""",
+    "op1_exact_top_k": oracles.TOP_K,
+    "op4_ngram_join": oracles.NGRAM_COMPONENTS,
+    "op5_line_dedup": oracles.LINE_DEDUP,
 }

@@ -47,3 +47,9 @@ def discard(df: DataFrame) -> None:
 def n_partitions(spark: SparkSession) -> int:
     """Partitions for an explicit shuffle: the session's own setting, which is sized to the cluster and its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this module wrote to the shared folder; results that read them must be written by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidelog")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
