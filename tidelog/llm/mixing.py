@@ -12,6 +12,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,8 +22,6 @@ from tidelog.llm.store import materialize, n_partitions
 
 #: A word: a run of characters other than space and the controls from tab to carriage return.
 NO_WORD = r"[\x20\x09-\x0D]+"
-#: Rows of a source that are ordered in one group, about.
-STREAM_GROUP = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -108,14 +107,15 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float
     rows it makes no difference which is first).  Reruns agree: ties of the hash
     go by id and size.  Other columns are not read.
 
-    No source goes to one task: its stream is cut into groups by hash, groups
-    are added up first, and rows are ordered within groups.
+    No source goes to one task: its stream is cut into groups by hash, as many
+    as the root of the number of rows, groups are added up first, and rows are
+    ordered within groups.
     """
     sized = materialize(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")),
         "mix-sizes",
     )
-    groups = max(1, sized.count() // STREAM_GROUP)
+    groups = max(1, math.isqrt(sized.count()))
     sized = sized.withColumn("grp", F.pmod(F.shiftright("h", 20), F.lit(groups)).cast("int"))
     by_group = materialize(sized.groupBy("source", "grp").agg(F.sum("size").alias("n")), "mix-groups")
     sources = by_group.groupBy("source").agg(F.sum("n").alias("source_size"))
