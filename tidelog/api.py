@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.errors import ChronicleExists, InvalidArgument, NotAcquired, NotExist
+from tidelog.functions import records, telemetry
 from tidelog.operators import kv, replay, tail
 from tidelog.operators.catalog import without_destroyed
-from tidelog.schema import EVENT_LOG, IDENTITY, KEY, event_log, ntz_of_micros
+from tidelog.schema import EVENT_LOG, IDENTITY, KEY, SECOND, event_log, ntz_of_micros
 from tidelog.sources.archive import read_archive, write_archive
 
 CATALOG = "story string, chronicle string, op string, at long"
@@ -178,3 +179,29 @@ class Store:
             raise InvalidArgument("num_events must be 1 or more")
         rows = tail.last_n(self.log(), chronicle, story, n).orderBy(*KEY).collect()
         return {"events": [{"time": r["event_time"], "client_id": int(r["client_id"]), "index": r["event_index"], "log_record": r["record"]} for r in rows], "total_events": len(rows)}
+
+    def query_report(self, chronicle: str, story: str, start: int, end: int) -> dict:
+        """The same for a range; rows reach the driver, so ranges should be a dashboard's."""
+        rows = self.replay(chronicle, story, start, end).collect()
+        return {"events": [{"time": r["event_time"], "client_id": int(r["client_id"]), "index": r["event_index"], "log_record": r["record"]} for r in rows], "total_events": len(rows)}
+
+    # -- conversation tools
+
+    def record_interaction(self, chronicle: str, story: str, user: str, assistant: str) -> int:
+        return self.append(chronicle, story, f"user: {user}, assistant: {assistant}")
+
+    def retrieve(self, chronicle: str, story: str, path: str, start: str | None = None, end: str | None = None) -> None:
+        """Write a story's records, one a line, to ``path``; times as :func:`parse_time` takes them, by default all up to a minute from now."""
+        lo = records.parse_time(start) or 1
+        hi = records.parse_time(end, end=True) or time.time_ns() + 60 * SECOND
+        self.replay(chronicle, story, lo, hi).select(F.coalesce("record", F.lit("")).alias("value")).write.mode("overwrite").text(path)
+
+    # -- metric samples
+
+    def store_metrics(self, samples: DataFrame, container: str) -> None:
+        """Append metric samples: ts_ns, producer, instance, schema, metrics (map of doubles)."""
+        stamp = F.concat((F.col("ts_ns") / SECOND).cast("long").cast("string"), F.lit("."), F.lpad(F.expr("ts_ns % 1000000000 div 1000").cast("string"), 6, "0"))
+        record = telemetry.metric_envelope(stamp, F.col("producer"), F.col("instance"), F.col("schema"), F.col("metrics"))
+        number = F.pmod(F.xxhash64("producer", "instance", "schema"), F.lit(2**31))
+        rows = samples.select(F.lit(container).alias("chronicle"), telemetry.metric_story(F.col("schema"), F.col("producer")).alias("story"), F.col("ts_ns").alias("event_time"), F.lit(self.client_id).cast("decimal(20,0)").alias("client_id"), number.alias("event_index"), record.alias("record"))
+        write_archive(event_log(rows), f"{self.path}/events")

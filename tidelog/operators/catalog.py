@@ -20,6 +20,16 @@ def stories_like(log: DataFrame, chronicle_pattern: str, story_pattern: str) ->
     return rows.select("story").distinct().withColumnRenamed("story", "value").orderBy("value")
 
 
+def find_variable(log: DataFrame, text: str) -> DataFrame:
+    """Values of a dashboard variable: ``chronicles`` or ``*`` for chronicles, ``stories(x)`` for those of one; none for other texts."""
+    text = text.strip()
+    if text in ("chronicles", "*"):
+        return chronicles(log).withColumnRenamed("chronicle", "value").orderBy("value")
+    if text.startswith("stories(") and text.endswith(")"):
+        return stories(log, text[8:-1].strip()).withColumnRenamed("story", "value").orderBy("value")
+    return log.select(F.col("story").alias("value")).limit(0)
+
+
 def files_for_range(manifest: DataFrame, start: int, end: int, max_span: int | None = None) -> DataFrame:
     """Published files (start_time, end_time) that overlap ``[start, end)``.
 
