@@ -126,13 +126,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     where there is one, follows a changed text.  A document that loses all its
     lines stays with an empty text.  Null texts stay null.
     """
-    spans = merged_spans(repeated_runs(docs, min_words, id_col, text_col)).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    rows = docs.join(spans, F.col(id_col) == F.col("_id"), "left").withColumn("_lines", F.when(F.col("_spans").isNotNull(), _lines(F.col(text_col).cast("string"))))
+    spans = merged_spans(repeated_runs(docs, min_words, id_col, text_col)).select(F.col("doc_id").alias("k"), "spans")
+    # the row goes along as one value, so no column of its can clash
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(spans, F.col("id") == F.col("k"), "left").withColumn("lines", F.when(F.col("spans").isNotNull(), _lines(F.col("row")[text_col].cast("string"))))
     # the stretches before, between and behind the spans
-    begin = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda x: x["e"] + 1))
-    end = F.concat(F.transform("_spans", lambda x: x["s"]), F.array(F.size("_lines")))
-    kept = F.flatten(F.zip_with(begin, end, lambda b, e: F.slice(F.col("_lines"), b + 1, F.greatest(e - b, F.lit(0)))))
-    rows = rows.withColumn("_text", F.when(F.col("_spans").isNotNull(), F.array_join(kept, "\n")))
+    begin = F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["e"] + 1))
+    end = F.concat(F.transform("spans", lambda x: x["s"]), F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(begin, end, lambda b, e: F.slice(F.col("lines"), b + 1, F.greatest(e - b, F.lit(0)))))
+    rows = rows.withColumn("new", F.when(F.col("spans").isNotNull(), F.array_join(kept, "\n")))
+    changed = {text_col: F.coalesce("new", F.col("row")[text_col])}
     if "n_chars" in docs.columns and text_col != "n_chars":
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.withColumn(text_col, F.coalesce("_text", F.col(text_col))).select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("spans").isNotNull(), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -154,20 +154,21 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The training stream: rows of ``docs``, all columns as they are, once for each copy taken.
 
     The one copy of each source that its target cuts is shortened to the words
-    taken; ``n_chars``, where there is one, follows the text.
+    taken; ``n_chars``, where there is one, follows a shortened text.
     """
     text_col, id_col = options.get("text_col", "text"), options.get("id_col", "doc_id")
-    plan = plan_mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken").filter("taken > 0")
+    plan = plan_mix(docs, **options).filter("taken > 0")
     # rows that share an id are told apart by size only, so ids are reduced to one plan row each
-    plan = plan.groupBy("_id", "_size").agg(F.max("taken").alias("_taken"))
-    rows = docs.withColumn("_n", word_count(F.col(text_col).cast("string")))
-    rows = rows.join(plan, (F.col(id_col) == F.col("_id")) & (F.col("_n") == F.col("_size")))
-    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    words = F.least(F.col("_size"), F.col("_taken") - F.col("_copy") * F.col("_size"))
-    head = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(F.col(text_col), NO_WORD, " ")), " "), F.lit(1), words.cast("int")), " ")
-    text = F.when(words < F.col("_size"), head).otherwise(F.col(text_col))
-    out = rows.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    plan = plan.groupBy(F.col("doc_id").alias("k"), "size").agg(F.max("taken").alias("taken"))
+    # the row goes along as one value, so no column of its can clash
+    rows = docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col).cast("string")).alias("n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(plan, (F.col("id") == F.col("k")) & (F.col("n") == F.col("size")))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    own = F.col("row")[text_col]
+    head = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(own, NO_WORD, " ")), " "), F.lit(1), words.cast("int")), " ")
+    rows = rows.withColumn("new", F.when(words < F.col("size"), head).otherwise(own))
+    changed = {text_col: F.col("new")}
+    if "n_chars" in docs.columns and text_col != "n_chars":
+        changed["n_chars"] = F.when(words < F.col("size"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
