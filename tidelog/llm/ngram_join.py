@@ -2,22 +2,27 @@
 
 A document's set is that of its word n-grams, as 64-bit hashes.  Documents with
 one set are one node.  In a size band at most ``d`` elements can differ between
-two linked sets.  Each set is XOR-ed into a sketch of parts of 64 bits (an
-element flips one bit of one part), so the Hamming distance of two sketches is
-at most the size of the symmetric difference and, by the pigeonhole principle,
+two linked sets.  Each set is XOR-ed into a sketch of parts of 64 bits; an
+element changes one part (all of its bits, by its hash, so that parts of
+different elements don't agree by chance), hence, by the pigeonhole principle,
 of ``d + 1 + light + common`` parts at least ``1 + light + common`` of linked
 sets are equal.  Sets are joined on (band, part, value).
 
 Parts that collide by chance or stem from passages that many documents share
-are left out: each set leaves out its ``light`` parts with the fewest bits and
+are left out: each set leaves out its ``light`` parts with the fewest elements and
 then its ``common`` parts whose values most sets have.  Both orders depend on
 the part alone, so among the parts that two linked sets have in common the last
 in order has so many before it, in either set, that neither leaves it out.
 
-Candidates are compared by a wider sketch first (its Hamming distance bounds
-the difference from below) and by their texts then.
+Each set keeps ``more`` of these common parts, so linked sets have ``1 + more``
+parts left in common.  Keys of a few sets are expanded into pairs and a pair
+counts if it comes up so often; keys of many go another way (below), so a pair
+that has one of them in common needn't be counted.
 
-A key shared by many sets isn't expanded into pairs.  Its smallest member, the
+Candidates are compared by a bit sketch first (an element flips one bit, so the
+Hamming distance bounds the difference from below) and by their texts then.
+
+A key of many sets isn't expanded into pairs.  Its smallest member, the
 pivot, meets all others first; most groups are one component then and done.  In
 the others the outlines of members of different components are compared as
 matrices, which send on only the pairs that are close: a group at a time, up to
@@ -42,6 +47,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.components import connected_components
 from tidelog.llm.store import discard, materialize, n_partitions
 
+#: Keys of so many sets at most are expanded into pairs, which count if they come up 1 + MORE times.
+FEW, MORE = 8, 2
 #: Groups of so many members at most are compared one by one; the members of larger ones in blocks of so many outlines.
 GROUP, BLOCK = 128, 1024
 #: Ids up to which the documents to verify are found by broadcast; more are found by a shuffle join.
@@ -128,11 +135,16 @@ def bands(sim: Similarity, upto: int) -> tuple[np.ndarray, list[tuple[int, int,
     return np.array(starts), rest
 
 
-def sketch(h: np.ndarray, parts: int) -> np.ndarray:
-    """Parity sketch of a set: ``parts`` words of 64 bits."""
-    cell = ((h >> U(8)) % U(parts)).astype(np.int64) * 64 + (h & U(63)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=parts * 64) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view("<u8")
+def sketch(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, elements) of each part of a set's parity sketch: a part is the XOR of its elements' 64-bit hashes."""
+    part = ((h >> U(8)) % U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    elements = np.bincount(part, minlength=parts)
+    words = np.zeros(parts, U)
+    full = np.flatnonzero(elements)
+    starts = np.cumsum(elements)[full] - elements[full]
+    words[full] = np.bitwise_xor.reduceat(mix(h + ODD)[order], starts)
+    return words, elements
 
 
 def keys_of(h: np.ndarray, sim: Similarity) -> list[tuple[np.ndarray, int]]:
@@ -148,9 +160,9 @@ def keys_of(h: np.ndarray, sim: Similarity) -> list[tuple[np.ndarray, int]]:
         if band < 0 or n > rest[band][3]:
             continue
         parts, light, common, _ = rest[band]
-        value = sketch(h, parts)
-        keys = mix(value + ODD * np.arange(1, parts + 1, dtype=U))
-        keys = keys[np.lexsort((keys, np.bitwise_count(value)))[light:]]
+        words, elements = sketch(h, parts)
+        keys = mix(words + ODD * np.arange(1, parts + 1, dtype=U))
+        keys = keys[np.lexsort((keys, elements))[light:]]
         out.append((mix(keys ^ U((band + 1) * int(MIX1) & 0xFFFFFFFFFFFFFFFF)), band << 32 | common))
     return out
 
@@ -424,19 +436,30 @@ def _several(groups: DataFrame, value: str) -> DataFrame:
 
 
 def _candidate_groups(rows: DataFrame, width: int, sim: Similarity, seed: int) -> DataFrame:
-    """key, node, band: keys of several sets, without those that their sets leave out."""
+    """key, node, band, need, members: keys of several sets, without those that their sets leave out.
+
+    ``need``: how many keys of the band a pair of linked sets has in common at least.
+    """
     seen, key = Window.partitionBy("key").orderBy("node"), Window.partitionBy("key")
     # a set met by several tasks counts once
     once = _keyed(rows, width, sim, seed).withColumn("_last", F.lag("node").over(seen)).filter("_last is null or _last != node").drop("_last")
     shared = materialize(once.withColumn("sets", F.count("*").over(key)).filter("sets > 1"), "shared")
     band, common = F.shiftright("marks", 32), F.col("marks").bitwiseAND(0xFFFFFFFF)
+    more = F.least(common, F.lit(MORE))
     order = Window.partitionBy("node", "marks").orderBy(F.desc("sets"), "key")
-    kept = shared.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") > common).select("key", "node", band.alias("band"))
-    groups = materialize(_several(kept, "node"), "groups")
+    kept = shared.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") > common - more).select("key", "node", band.alias("band"), (more + 1).alias("need"))
+    groups = materialize(kept.withColumn("members", F.count("*").over(key)).filter("members > 1"), "groups")
     discard(shared)
     return groups
 
 
+def _frequent_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) that have as many keys of a few sets in common as their band needs."""
+    before = F.collect_list("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(-FEW, -1))
+    rows = groups.filter(F.col("members") <= FEW).withColumn("before", before).withColumn("a", F.explode("before"))
+    return rows.groupBy("a", F.col("node").alias("b"), "band").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b")
+
+
 def ngram_components(docs: DataFrame, width: int = 5, sim: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles (long), component_id: the smallest id reachable by links, itself included.
 
@@ -456,10 +479,11 @@ def ngram_components(docs: DataFrame, width: int = 5, sim: Similarity | None = N
             break
     groups = _candidate_groups(rows, width, sim, seed)
     _release(spark)
-    # the pivot of each key meets all others
+    # keys of a few sets: pairs that come up often; keys of many: the pivot meets all others
     pivot = F.min("node").over(Window.partitionBy("key"))
-    star = groups.withColumn("a", pivot).filter("a != node")
-    close = materialize(_close(star.select("a", F.col("node").alias("b")).distinct(), nodes, sim), "close")
+    star = groups.filter(F.col("members") > FEW).select("key", "node", "band", pivot.alias("a")).filter("a != node")
+    pairs = _frequent_pairs(groups).unionByName(star.select("a", F.col("node").alias("b"))).distinct()
+    close = materialize(_close(pairs, nodes, sim), "close")
     links = materialize(_verified(close, _texts_of(close, nodes, rows), width, sim), "found")
     components = connected_components(links)
     left = star.drop("a").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -488,4 +512,4 @@ def keep_one(docs: DataFrame, width: int = 5, sim: Similarity | None = None, id_
     Rows that repeat that id stay too, if they do in the input.
     """
     kept = ngram_components(docs, width, sim, id_col, text_col).filter("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
