@@ -16,12 +16,12 @@ runs of zeros.
 from __future__ import annotations
 
 import struct
-from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +33,20 @@ BLOCK = 4096
 #: Values a word and bits a value, by selector, of the published Simple-8b scheme.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-#: Bytes of ids that are packed together.
-GROUP_BYTES = 2 << 20
-#: Distinct pieces of a generation of the cache that each Python worker keeps.
-CACHE_PIECES = 280_000
+#: Ids that are packed together, about.
+GROUP_IDS = 500_000
+
+
+#: Bits of small numbers.
+WIDTH_OF = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.int8)
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     if len(ids) and int(ids.max()) >> 60:
         raise ValueError("a value does not fit in 60 bits")
-    if not len(ids) or int(ids.max()) < 1 << 52:  # exact as doubles, whose exponent is the width
+    if not len(ids) or int(ids.max()) < len(WIDTH_OF):
+        return WIDTH_OF[ids]
+    if int(ids.max()) < 1 << 52:  # exact as doubles, whose exponent is the width
         return np.frexp(ids.astype(np.float64))[1].astype(np.int8)
     return np.array([int(x).bit_length() for x in ids.tolist()], np.int8)
 
@@ -156,15 +160,17 @@ def unpack_part(payload: bytes, block: int) -> np.ndarray:
 
 #: Fixed value: parts chunks of a text; a text that holds it goes to the library whole.
 PART = "\x1f"
+#: Bytes of text that are encoded together, and chunks that are handed to the library at once.
+SLICE_BYTES, CHUNKS = 20 << 20, 4_000
 
 
-class PieceEncoder:
-    """The library's ids, with those of each chunk between single spaces kept.
+class TextEncoder:
+    """The library's ids of many texts at once.
 
     The byte-level pre-tokenizer begins a new piece at a single space, and at
-    either side of a single line feed, between two other characters, so such
-    chunks can be encoded one by one; a text with any other white space goes to
-    the library whole.
+    either side of a single line feed, between two other characters, so texts
+    are cut there, each distinct chunk is encoded once and the ids are laid out
+    by gathering.  A text with any other white space goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -177,72 +183,99 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.whole_only = any(t.lstrip or t.rstrip or t.normalized for t in self.library.get_added_tokens_decoder().values())
-        #: Two generations: a chunk that isn't met while the younger one fills is forgotten.
-        self.chunks: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.feed = self._whole("\n")
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _add(self, chunks: list[str]) -> None:
-        """Encode new chunks as one text, in which each begins a piece, and cut the ids where they begin.
-
-        Chunks that begin with a space come first; each other one stands behind
-        a line feed, whose own id belongs to no chunk.
+        vocab = self.library.get_vocab()
+        #: By id: whether a token begins with a space or a line feed, in the byte-level alphabet.
+        self.begins_spaced, self.begins_feed = np.zeros(max(vocab.values()) + 1, bool), np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.begins_spaced[i], self.begins_feed[i] = token[0] == "Ġ", token[0] == "Ċ"
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count): the ids of distinct chunks, each of which would begin a piece.
+
+        Chunks are joined to texts: those with a space in front as they are,
+        the others behind a line feed, whose own id belongs to no chunk.  In
+        the ids a chunk begins at the token that begins with the space (or is
+        the line feed), of which it has no other.
         """
-        spaced = [c for c in chunks if c[0] == " "]
-        heads = [c for c in chunks if c[0] != " "]
-        got = self.library.encode("".join(spaced) + "".join(["\n" + c for c in heads]), add_special_tokens=False)
-        ids, tokens = array("I", got.ids).tobytes(), np.array([a for a, _ in got.offsets])
-        cut = list(accumulate(map(len, spaced), initial=0))
-        for c in heads:
-            cut += [cut[-1] + 1, cut[-1] + 1 + len(c)]
-        at = (4 * np.searchsorted(tokens, cut)).tolist()
-        n = len(spaced)
-        self.chunks.update(zip(spaced, map(ids.__getitem__, map(slice, at, at[1 : n + 1])), strict=True))
-        self.chunks.update(zip(heads, map(ids.__getitem__, map(slice, at[n + 1 :: 2], at[n + 2 :: 2])), strict=True))
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.whole_only or PART in text:
-            return self._whole(text)
-        chunks = text.replace(" ", PART + " ").replace("\n", PART + "\n" + PART).split(PART)
-        cache = self.chunks
-        cache["\n"] = self.feed
-        seen = set(chunks)
-        if "" in seen or " " in seen:  # spaces together or at an end of a line
-            return self._whole(text)
-        missing = seen.difference(cache)
-        if missing:
-            if not text.replace("\n", " ").isprintable() and any(c.split() != [c[1:] if c[0] == " " else c] for c in missing):
-                return self._whole(text)  # white space of another kind
-            if len(cache) + len(missing) > CACHE_PIECES:  # what was met since the last time, or is met again, stays
-                self.older, self.chunks = cache, {c: cache[c] for c in seen if c in cache}
-                cache = self.chunks
-            older = self.older
-            if older:
-                for chunk in [c for c in missing if c in older]:
-                    cache[chunk] = older[chunk]
-                    missing.discard(chunk)
-            if missing:
-                self._add(list(missing))
-        ids = b"".join(map(cache.__getitem__, chunks))
-        if missing and len(max(missing, key=len)) >= 200:
-            for chunk in missing:
-                if len(chunk) >= 200:
-                    del cache[chunk]
-        return ids
-
-
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def encoder(path: str) -> PieceEncoder:
+        n = len(chunks)
+        first, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        parts, base = [np.zeros(0, np.uint32)], 0
+        spaced = pc.starts_with(chunks, " ").to_numpy(zero_copy_only=False)
+        feed = pc.equal(chunks, "\n").to_numpy(zero_copy_only=False)
+        for mask, lead, begins in ((spaced, "", self.begins_spaced), (~spaced & ~feed, "\n", self.begins_feed)):
+            places = np.flatnonzero(mask)
+            if not len(places):
+                continue
+            mine = chunks.take(pa.array(places)).cast(pa.large_string())
+            if lead:
+                mine = pc.binary_join_element_wise(pa.scalar(lead, pa.large_string()), mine, pa.scalar("", pa.large_string()))
+            cuts = np.frombuffer(mine.buffers()[1], np.int64)[mine.offset :]
+            data = mine.buffers()[2]
+            for lo in range(0, len(places), CHUNKS):
+                hi = min(lo + CHUNKS, len(places))
+                text = data.slice(cuts[lo], cuts[hi] - cuts[lo]).to_pybytes().decode()
+                got = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                at = np.flatnonzero(begins[got])
+                if len(at) != hi - lo:
+                    raise ValueError("the tokenizer joined chunks")
+                first[places[lo:hi]] = base + at + len(lead)
+                count[places[lo:hi]] = np.diff(np.append(at, len(got))) - len(lead)
+                parts.append(got)
+                base += len(got)
+        for i in np.flatnonzero(feed).tolist():
+            parts.append(self.whole("\n"))
+            first[i], count[i] = base, len(parts[-1])
+            base += len(parts[-1])
+        return np.concatenate(parts), first, count
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, ids of each text); null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        n = len(texts)
+        alone = np.full(n, self.whole_only) | pc.match_substring(texts, PART).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", PART + " "), "\n", PART + "\n" + PART), PART)
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        coded = cut.flatten().dictionary_encode()
+        which, chunks = coded.indices.to_numpy(), coded.dictionary
+        plain = ~pc.is_in(chunks, pa.array(["", " "])).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(~pc.utf8_is_printable(chunks).to_numpy(zero_copy_only=False)).tolist():
+            c = chunks[i].as_py()
+            if c != "\n" and c.split() != [c.removeprefix(" ")]:  # white space of another kind
+                plain[i] = False
+        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+        strange = np.concatenate([[0], np.cumsum(~plain[which])])
+        alone |= (strange[bounds[1:]] - strange[bounds[:-1]] > 0) & ~empty
+        skip = np.repeat(alone | empty, np.diff(bounds))
+        used = np.zeros(len(chunks), bool)
+        used[which[~skip]] = True
+        places = np.flatnonzero(used)
+        ids, own_first, own_count = self._chunk_ids(chunks.take(pa.array(places)))
+        first, count = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        first[places], count[places] = own_first, own_count
+        many = np.where(skip, 0, count[which])
+        ends = np.concatenate([[0], np.cumsum(many)])
+        gather = np.repeat((first[which] - ends[:-1]).astype(np.int32), many)
+        gather += np.arange(len(gather), dtype=np.int32)
+        out = ids[gather]
+        lengths = ends[bounds[1:]] - ends[bounds[:-1]]
+        odd = np.flatnonzero(alone & ~empty).tolist()
+        if odd:
+            whole = [self.whole(texts[i].as_py()) for i in odd]
+            out = np.insert(out, np.repeat(ends[bounds[odd]], [len(w) for w in whole]), np.concatenate(whole))
+            lengths[odd] = [len(w) for w in whole]
+        return out, lengths
+
+
+_encoders: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = TextEncoder(path)
     return _encoders[path]
 
 
@@ -259,32 +292,25 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         from pyspark import TaskContext
 
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
-        keys: list[int] = []
-        held: list[bytes] = []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal at
-            lengths = [len(x) // 4 for x in held]
-            starts = (at + np.cumsum([0, *lengths])).tolist()
-            payloads = pack_all(np.frombuffer(b"".join(held), "<u4"), lengths)
-            columns = [part] * len(keys), keys[:], starts[:-1], lengths, payloads
-            at = starts[-1]
-            keys.clear()
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-        size = 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys.append(key)
-                held.append(enc.encode(text.as_py() or "") + end)
-                size += len(held[-1])
-                if size >= GROUP_BYTES or len(keys) >= 2048:
-                    yield flush()
-                    size = 0
-        if keys:
-            yield flush()
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+                ids, lengths = enc.encode(batch.column(1).slice(lo, hi - lo))
+                ids = np.insert(ids, np.cumsum(lengths), end_id)
+                lengths = (lengths + 1).tolist()
+                keys = batch.column(0).slice(lo, hi - lo)
+                ends = np.cumsum([0, *lengths])
+                k = 0
+                while k < len(lengths):
+                    m = max(k + 1, int(np.searchsorted(ends, ends[k] + GROUP_IDS, "right")) - 1)
+                    payloads = pack_all(ids[ends[k] : ends[m]], lengths[k:m])
+                    columns = [part] * (m - k), keys.slice(k, m - k), at + ends[k:m], lengths[k:m], payloads
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    k = m
+                at += int(ends[-1])
+                lo = hi
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(n_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
