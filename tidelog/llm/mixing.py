@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.store import materialize, n_partitions
 
+#: Factors on the sources' weights in each third of training, for the sources in turn.
+CURRICULUM = ((4, 2, 1), (2, 2, 2), (1, 2, 4))
 #: A word: a run of characters other than space and the controls from tab to carriage return.
 NO_WORD = r"[\x20\x09-\x0D]+"
 
@@ -80,9 +82,11 @@ def demand_curve(targets: DataFrame, schedule: Sequence[Sequence[float]] | None)
     place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8")))
     factors = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in schedule])
     s = targets.withColumn("_f", F.element_at(factors, (F.pmod(place - 1, F.lit(len(schedule))) + 1).cast("int")))
+    # added up in one order, so that reruns agree to the last bit
+    everyone = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for k in range(spans):
         w = F.col("target") * F.col("_f")[k]
-        s = s.withColumn(f"_s{k}", w / F.greatest(F.sum(w).over(Window.partitionBy()), F.lit(1e-300)))
+        s = s.withColumn(f"_s{k}", w / F.greatest(F.sum(w).over(everyone), F.lit(1e-300)))
     drawn = [sum((F.col(f"_s{k}") for k in range(n)), F.lit(0.0)) for n in range(spans + 1)]
     knots = [F.struct(F.lit(n / spans).alias("t"), (F.col("target") * drawn[n] / F.greatest(drawn[spans], F.lit(1e-300))).alias("d")) for n in range(spans + 1)]
     return s.withColumn("curve", F.array(*knots)).drop("_f", *[f"_s{k}" for k in range(spans)])
@@ -91,7 +95,7 @@ def demand_curve(targets: DataFrame, schedule: Sequence[Sequence[float]] | None)
 def position_at(curve: Column, offset: Column) -> Column:
     """Training progress (0 to 1) at which the demand reaches ``offset``."""
     pairs = F.zip_with(F.slice(curve, F.lit(1), F.size(curve) - 1), F.slice(curve, F.lit(2), F.size(curve) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    hit = F.element_at(F.filter(pairs, lambda p: p["b"]["d"] > offset), 1)
+    hit = F.get(F.filter(pairs, lambda p: p["b"]["d"] > offset), F.lit(0))
     return F.coalesce(hit["a"]["t"] + (hit["b"]["t"] - hit["a"]["t"]) * F.greatest(offset - hit["a"]["d"], F.lit(0.0)) / (hit["b"]["d"] - hit["a"]["d"]), F.lit(1.0))
 
 
@@ -135,40 +139,70 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float
     return out.select("doc_id", "source", "size", "source_size", "target", offset.alias("offset"), taken.alias("taken"), "curve")
 
 
+def copies_of(plan: DataFrame) -> DataFrame:
+    """Add ``copies``: an array of (copy, words, position), one for each copy whose position lies in the run.
+
+    A copy's place in its source's stream is put through the inverse of the
+    demand; what lies behind the end of the run isn't taken.
+    """
+    place = lambda c: c.cast("long") * F.col("source_size") + F.col("offset")
+    words = lambda c: F.least(F.col("size"), F.floor("target").cast("long") - place(c))
+    numbers = F.sequence(F.lit(0), F.ceil(F.col("target") / F.col("source_size")).cast("int"))
+    copies = F.transform(numbers, lambda c: F.struct(c.alias("copy"), words(c).alias("words"), position_at(F.col("curve"), place(c).cast("double")).alias("position")))
+    kind = "array<struct<copy: int, words: bigint, position: double>>"
+    copies = F.when(F.col("size") > 0, F.filter(copies, lambda x: (x["words"] > 0) & (x["position"] < 1))).otherwise(F.array().cast(kind))
+    return plan.withColumn("copies", copies.cast(kind))
+
+
 def training_order(plan: DataFrame) -> DataFrame:
     """One row for each copy that is taken, range-sorted by training position.
 
     doc_id, source, copy (int, from 0), words (long, taken of this copy),
-    position (double, 0 to 1).
+    position (double, 0 to 1), offset (as in the plan).
     """
-    copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    rows = plan.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    rows = rows.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
-    rows = rows.withColumn("position", position_at(F.col("curve"), (F.col("copy") * F.col("source_size") + F.col("offset")).cast("double")))
-    rows = rows.select("doc_id", "source", "copy", "words", "position")
+    rows = copies_of(plan).withColumn("c", F.explode("copies")).select("doc_id", "source", "c.copy", "c.words", "c.position", "offset")
     n = n_partitions(plan.sparkSession)
     return rows.repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """One row for each input row: doc_id, source, size, source_size, target, taken, position.
+
+    The training order is written, range-sorted; ``taken`` adds up the words of
+    a row's copies in it, ``position`` is that of the first, null where nothing
+    is taken.
+    """
+    plan = materialize(plan_mix(docs, **options).drop("taken"), "mix-plan")
+    order = materialize(training_order(plan), "mix-order")
+    # places of what is taken are a source's own, so they name rows even where ids are repeated
+    found = order.groupBy(F.struct("source", "offset").alias("k")).agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
+    rows = plan.withColumn("key", F.when(F.col("size") > 0, F.struct("source", "offset"))).join(found, F.col("key") == F.col("k"), "left")
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "position")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The training stream: rows of ``docs``, all columns as they are, once for each copy taken.
+    """The training stream: rows of ``docs``, all columns as they are, once for each copy taken, range-sorted by position.
 
     The one copy of each source that its target cuts is shortened to the words
     taken; ``n_chars``, where there is one, follows a shortened text.
     """
-    text_col, id_col = options.get("text_col", "text"), options.get("id_col", "doc_id")
-    plan = plan_mix(docs, **options).filter("taken > 0")
-    # rows that share an id are told apart by size only, so ids are reduced to one plan row each
-    plan = plan.groupBy(F.col("doc_id").alias("k"), "size").agg(F.max("taken").alias("taken"))
+    text_col, id_col, source_col = (options.get(f"{c}_col", d) for c, d in (("text", "text"), ("id", "doc_id"), ("source", "source")))
+    plan = copies_of(plan_mix(docs, **options))
+    # rows that share id, source and size are dealt their places in turn
+    plan = plan.groupBy(F.struct("doc_id", "source", "size").alias("k")).agg(F.sort_array(F.collect_list(F.struct("offset", "copies"))).alias("places")).filter(F.exists("places", lambda x: F.size(x["copies"]) > 0))
     # the row goes along as one value, so no column of its can clash
-    rows = docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col).cast("string")).alias("n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(plan, (F.col("id") == F.col("k")) & (F.col("n") == F.col("size")))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
-    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    key = F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.filter("key.doc_id is not null").join(plan, F.col("key") == F.col("k"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.col("row")[text_col].cast("string")))))
+    rows = rows.withColumn("c", F.explode(F.col("places")[F.col("nth") - 1]["copies"]))
+    words, size = F.col("c.words"), F.col("key.size")
     own = F.col("row")[text_col]
     head = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(own, NO_WORD, " ")), " "), F.lit(1), words.cast("int")), " ")
-    rows = rows.withColumn("new", F.when(words < F.col("size"), head).otherwise(own))
+    rows = rows.withColumn("new", F.when(words < size, head).otherwise(own))
     changed = {text_col: F.col("new")}
     if "n_chars" in docs.columns and text_col != "n_chars":
-        changed["n_chars"] = F.when(words < F.col("size"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
-    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+        changed["n_chars"] = F.when(words < size, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    out = rows.select("c.position", F.col("key.doc_id").alias("id"), "c.copy", F.struct(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns]).alias("row"))
+    out = out.repartitionByRange(n_partitions(docs.sparkSession), "position", "id").sortWithinPartitions("position", "id", "copy")
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -33,8 +33,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mixed_documents(_table(spark, sf_dir, "documents"), schedule=mixing.CURRICULUM)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
