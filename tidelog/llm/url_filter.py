@@ -11,38 +11,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of host names that block lists are about, and of ordinary ones.  They spell the labelled URLs.
+#: Words of host names that block lists are about, and of ordinary ones.  They spell the labelled URLs; no feature looks them up.
 BLOCKED_WORDS = (
-    "casino", "poker", "slots", "bets", "bet", "jackpot", "lottery", "gambling", "pills", "viagra", "pharma", "cialis", "diet", "cheap",
-    "free", "win", "bonus", "spam", "farm", "adult", "xxx", "porn", "sex", "cams", "escort", "ads", "track", "tracker", "click", "banner",
-    "popup", "affiliate", "malware", "phish", "warez", "crack", "torrent", "keygen", "loan", "payday", "replica", "seo", "links", "x",
+    "poker", "slots", "bet", "jackpot", "lottery", "gambling", "viagra", "pharma", "cialis", "diet", "bonus", "porn", "sex", "cams", "escort",
+    "tracker", "click", "banner", "popup", "affiliate", "malware", "phish", "warez", "crack", "torrent", "keygen", "loan", "payday",
+    "replica", "seo", "links", "xxx",
 )
+#: Words that no training URL has, for held-out ones.
+HELD_OUT_WORDS = ("casino", "win", "free", "bets", "ads", "track", "spam", "farm", "cheap", "pills", "adult", "x")
 ORDINARY_WORDS = (
     "news", "daily", "garden", "school", "river", "museum", "library", "science", "weather", "travel", "cooking", "history", "music",
     "forum", "wiki", "docs", "journal", "city", "health", "sport", "photo", "books", "art", "tech", "green", "north", "house", "food",
 )
 #: Letter groups that made-up ordinary host names consist of.
 SYLLABLES = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "ma", "lo", "ki", "sa", "ble", "ing", "ion")
-#: Suffixes; both classes use each, so a suffix alone settles nothing.
-SUFFIXES = ("com", "net", "org", "info", "co.uk", "de", "fr", "es")
+#: Suffixes; both classes use each, so a suffix alone settles nothing, but blocked hosts have the last ones more often.
+SUFFIXES = ("com", "net", "org", "co.uk", "de", "fr", "es", "info", "xyz", "top")
+SUFFIX_ODDS = ((6, 4, 4, 2, 2, 2, 2, 1, 1, 1), (6, 4, 4, 1, 1, 1, 1, 3, 3, 3))
 
 
-def labelled_urls(n: int = 1_600, seed: int = 11) -> list[tuple[str, int]]:
-    """(url, 1 if it should be blocked) — made from the word lists above, the same each time."""
+def labelled_urls(n: int = 1_600, seed: int = 11, blocked_words: Sequence[str] = BLOCKED_WORDS) -> list[tuple[str, int]]:
+    """(url, 1 if it should be blocked) — made from the word lists above, the same each time.
+
+    The classes differ in lexical features, each of which the other class has
+    too: blocked hosts have more hyphens and digits and other suffixes, and half
+    of the blocked URLs (a twelfth of the others) have deep paths or many parameters.
+    """
     r = random.Random(seed)
     rows = []
     for k in range(n):
         bad = k % 2
+        kind = r.random()
         if bad:
-            words = r.sample(BLOCKED_WORDS, 2) if r.random() < 0.85 else [r.choice(BLOCKED_WORDS), str(r.randint(1, 999))]
-            name = r.choice(("-", "-", "-", "")).join(words)
+            words = r.sample(blocked_words, r.choice((2, 2, 3)))
+            name = "-".join(words) if kind < 0.8 else words[0] + r.choice(("", "-")) + str(r.randint(1, 999)) if kind < 0.95 else "".join(words[:2])
         else:
-            kind = r.random()
-            name = "".join(r.choices(SYLLABLES, k=r.randint(2, 5))) if kind < 0.7 else r.choice(("-", "")).join(r.sample(ORDINARY_WORDS, r.randint(1, 2)))
-        host = r.choice(("", "", "www.", "blog.", "m.", "shop.")) + name + r.choice(("", ".example", ".example", ".host")) + "." + r.choice(SUFFIXES)
-        depth = r.randint(0, 4)
-        path = "".join("/" + (r.choice(("en", "de", "fr", "es")) if r.random() < 0.3 else str(r.randint(1, 999)) if r.random() < 0.5 else r.choice(ORDINARY_WORDS)) for _ in range(depth)) + r.choice(("", "/", ".html"))
+            name = "".join(r.choices(SYLLABLES, k=r.randint(2, 5))) if kind < 0.7 else r.choice(("-", "", "")).join(r.sample(ORDINARY_WORDS, r.randint(1, 2)))
+        host = r.choice(("", "", "www.", "blog.", "m.", "shop.")) + name + r.choice(("", ".example", ".example", ".host")) + "." + r.choices(SUFFIXES, SUFFIX_ODDS[bad])[0]
+        loud = r.random() < (0.5 if bad else 0.08)
+        depth = r.randint(3, 7) if loud and r.random() < 0.6 else r.randint(0, 4)
+        path = "".join("/" + (r.choice(("en", "de", "fr", "es")) if r.random() < 0.3 else str(r.randint(1, 9999)) if r.random() < 0.5 else r.choice(ORDINARY_WORDS)) for _ in range(depth)) + r.choice(("", "/", ".html"))
         tail = r.choice(("", "", "?page=2&ref=x", "?utm_source=feed", "#top", "?id=7"))
+        if loud:
+            tail = "?" + "&".join(f"{r.choice(('aff', 'id', 'c', 'sub', 'src', 'go'))}={r.randint(1, 99_999)}" for _ in range(r.randint(2, 6)))
         rows.append((f"{r.choice(('http', 'https'))}://{host}{path if depth else r.choice(('', '/'))}{tail}", bad))
     return rows
 
@@ -87,15 +98,11 @@ def lexical_features(df: DataFrame, url_col: str, suffix_rates: dict[str, float]
     rate = F.lit(0.5)
     for s, x in sorted(suffix_rates.items()):
         rate = F.when(suffix == s, F.lit(x)).otherwise(rate)
-    words = F.split(F.translate(F.regexp_replace(name, r"\.[^.]*$", ""), "-_.", "   "), " ")
-    stems = F.array(*[F.lit(w) for w in BLOCKED_WORDS])
-    long_stems = "|".join(w for w in BLOCKED_WORDS if len(w) > 3)
     features = {
         "url_length": F.length(u), "host_length": F.length(h), "path_length": F.length(p), "labels": _count(h, "."), "depth": _count(p, "/"),
         "digit_ratio": _count(u, "0123456789") / F.greatest(F.length(u), F.lit(1)), "host_digits": _count(h, "0123456789"),
         "entropy": entropy, "parameters": F.when(F.length(q) > 0, _count(q, "&") + 1).otherwise(0), "hyphens": _count(h, "-"),
         "vowel_ratio": _count(name, "aeiou") / n, "suffix_rate": rate,
-        "listed_words": F.size(F.array_intersect(words, stems)), "listed_parts": F.when(name.rlike(long_stems), 1).otherwise(0),
     }
     for k, v in features.items():
         df = df.withColumn(f"_f_{k}", F.coalesce(v.cast("double"), F.lit(0.0)))
