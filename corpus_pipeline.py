@@ -30,8 +30,8 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take sources by weights 1, 2, 3 in turn along the curriculum, none more than three times; repeats are rows of their own, sorted by training position."""
-    return mixing.mix(docs, schedule=mixing.CURRICULUM)
+    """Take sources by weights 1, 2, 3 in turn along the curriculum, none more than three times; repeats are rows of their own, sorted by training position; texts stay whole."""
+    return mixing.mix(docs, whole=True, schedule=mixing.CURRICULUM)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

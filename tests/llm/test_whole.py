@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tidelog.llm import mixing, url_filter
 from tidelog.llm import queries as q
 
@@ -52,3 +53,15 @@ def test_url_trees_go_by_lexical_features_and_not_by_words(spark):
     allowed = np.mean([not told[i] for i, (_, y) in enumerate(held) if not y])
     print(f"hosts of held-out words: {blocked:.3f} blocked; ordinary: {allowed:.3f} allowed", weight)
     assert blocked > 0.9 and allowed > 0.9
+
+
+def test_mixing_stage_keeps_texts_whole(spark):
+    docs = spark.createDataFrame([(i, "line\n" * (i + 1), "en", f"s{i // 2:02}", 5 * i + 5) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    own = {r["doc_id"]: r for r in rows(docs)}
+    mixed = rows(corpus_pipeline.mixing_stage(spark, docs, SF))
+    assert mixed and all(r == own[r["doc_id"]] for r in mixed)
+    plan = rows(mixing.plan_mix(docs))
+    for s in {r["source"] for r in plan}:
+        mine = [r for r in plan if r["source"] == s]
+        got = sum(len(r["text"].split()) for r in mixed if r["source"] == s)
+        assert abs(got - mine[0]["target"]) <= max(r["size"] for r in mine) / 2 + 1

@@ -180,11 +180,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "position")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
     """The training stream: rows of ``docs``, all columns as they are, once for each copy taken, range-sorted by position.
 
     The one copy of each source that its target cuts is shortened to the words
-    taken; ``n_chars``, where there is one, follows a shortened text.
+    taken; ``n_chars``, where there is one, follows a shortened text.  With
+    ``whole`` it is taken whole or not at all, whichever is nearer to the target.
     """
     text_col, id_col, source_col = (options.get(f"{c}_col", d) for c, d in (("text", "text"), ("id", "doc_id"), ("source", "source")))
     plan = copies_of(plan_mix(docs, **options))
@@ -197,6 +198,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.col("row")[text_col].cast("string")))))
     rows = rows.withColumn("c", F.explode(F.col("places")[F.col("nth") - 1]["copies"]))
     words, size = F.col("c.words"), F.col("key.size")
+    if whole:
+        rows = rows.filter(words * 2 >= size)
+        words = size
     own = F.col("row")[text_col]
     head = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(own, NO_WORD, " ")), " "), F.lit(1), words.cast("int")), " ")
     rows = rows.withColumn("new", F.when(words < size, head).otherwise(own))
