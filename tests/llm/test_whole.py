@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidelog.llm import mixing, url_filter
+from tidelog.llm import mixing, ngram_join, url_filter
 from tidelog.llm import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +65,14 @@ def test_mixing_stage_keeps_texts_whole(spark):
         mine = [r for r in plan if r["source"] == s]
         got = sum(len(r["text"].split()) for r in mixed if r["source"] == s)
         assert abs(got - mine[0]["target"]) <= max(r["size"] for r in mine) / 2 + 1
+
+
+def test_rows_without_an_id_stay(spark):
+    docs = spark.createDataFrame([(None, "alone and unlike all others here", "a"), (None, "another one of the rows", None), (1, "one two three four five six", "a"), (2, "one two three four five six", "b"), (3, "words of the last row", "b")], "doc_id long, text string, source string")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["text"] for r in rows(kept)) == sorted(r["text"] for r in rows(docs) if r["doc_id"] != 2)
+    mixed, plan = rows(mixing.mix(docs)), rows(mixing.plan_mix(docs))
+    for s in ("a", "b", None):
+        assert sum(len(r["text"].split()) for r in mixed if r["source"] == s) == sum(r["taken"] for r in plan if r["source"] == s)
+    assert sum(r["doc_id"] is None for r in mixed) >= 2

@@ -186,15 +186,16 @@ def mix(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
     The one copy of each source that its target cuts is shortened to the words
     taken; ``n_chars``, where there is one, follows a shortened text.  With
     ``whole`` it is taken whole or not at all, whichever is nearer to the target.
+    Rows with a null id are documents of their own and are mixed like any other.
     """
     text_col, id_col, source_col = (options.get(f"{c}_col", d) for c, d in (("text", "text"), ("id", "doc_id"), ("source", "source")))
     plan = copies_of(plan_mix(docs, **options))
-    # rows that share id, source and size are dealt their places in turn
+    # rows that share id, source and size are dealt their places in turn; structs with nulls in the same fields are equal
     plan = plan.groupBy(F.struct("doc_id", "source", "size").alias("k")).agg(F.sort_array(F.collect_list(F.struct("offset", "copies"))).alias("places")).filter(F.exists("places", lambda x: F.size(x["copies"]) > 0))
     # the row goes along as one value, so no column of its can clash
     key = F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
     rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.filter("key.doc_id is not null").join(plan, F.col("key") == F.col("k"))
+    rows = rows.join(plan, F.col("key") == F.col("k"))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.col("row")[text_col].cast("string")))))
     rows = rows.withColumn("c", F.explode(F.col("places")[F.col("nth") - 1]["copies"]))
     words, size = F.col("c.words"), F.col("key.size")

@@ -509,7 +509,9 @@ def ngram_components(docs: DataFrame, width: int = 5, sim: Similarity | None = N
 def keep_one(docs: DataFrame, width: int = 5, sim: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of which each component keeps the document with the smallest id.
 
-    Rows that repeat that id stay too, if they do in the input.
+    Rows that repeat that id stay too, if they do in the input.  Rows with a
+    null id can't be named and all stay, near copies or not.
     """
     kept = ngram_components(docs, width, sim, id_col, text_col).filter("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
+    rows = docs.join(kept, docs[id_col] == kept["_kept"], "left").filter(kept["_kept"].isNotNull() | docs[id_col].isNull())
+    return rows.select(*[docs[f"`{c}`"] for c in docs.columns])
