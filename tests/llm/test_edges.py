@@ -230,17 +230,42 @@ def test_html_extraction(spark):
     assert {r["text"] for r in got if r["page_id"] in (1, 2, 6, 7)} == {""} and html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
-def test_html_extraction_on_unseen_pages():
-    composer, trees = html_extract._Composer(2024), html_extract.train()
-    shared = total = 0
-    for _ in range(150):
-        source = composer.page()
+def test_html_extraction_on_hand_written_pages():
+    """Pages of twelve shapes that the composer has no hand in."""
+    from tests.llm.pages import PAGES
+
+    trees, shared, kept_all, wanted_all = html_extract.train(), 0, 0, 0
+    for name, source in PAGES.items():
         page = html_extract.parse(source)
-        want = {k for k in range(1, len(page.tag)) if page.tag[k] == "#text" and page.label[k] != 0}
+        want = {k for k in range(1, len(page.tag)) if page.tag[k] == "#text" and page.label[k] == 1}
         kept = set(html_extract.decode(page, trees.log_odds(html_extract.features(page))))
-        shared += 2 * len(want & kept)
-        total += len(want) + len(kept)
-    assert shared / total > 0.97
+        assert 2 * len(want & kept) >= 0.6 * (len(want) + len(kept)), name
+        shared, kept_all, wanted_all = shared + len(want & kept), kept_all + len(kept), wanted_all + len(want)
+    print(f"precision {shared / kept_all:.3f}, recall {shared / wanted_all:.3f}")
+    assert 2 * shared >= 0.95 * (kept_all + wanted_all)
+
+
+@pytest.mark.parametrize("piece", ["<", "<a", "<a '", "<!", "</", "<!--", "<a b='", "<a b='<a c=\"", "<script>", "<template>", "<div>", "<li><div></p>", "<tr><table><div></tr>", "&#9", "&", "<p>x", "a"])
+def test_broken_pages_take_one_pass(piece):
+    """1 MB of each, and one tag name of 1 MB."""
+    import time
+
+    began = time.process_time()
+    for source in (piece * (1_000_000 // len(piece)), "<" + piece.strip("<&") * (1_000_000 // len(piece))):
+        html_extract.parse(source)
+    assert time.process_time() - began < 6
+
+
+def test_broken_markup_loses_no_text():
+    texts = lambda source: [t for t in html_extract.parse(source).text if t]
+    assert texts("a < b <p>c<3 d") == ["a < b", "c<3 d"]
+    assert texts("<p>one<p title='x>y'>two<p title='x>three</p>four") == ["one", "two", "three", "four"]
+    assert texts("<html><head><title>T</title><article><p>kept</article>") == ["kept"]
+    assert texts("<p>one <video>two <object>three</object> <noscript>four</noscript> five") == ["one two three", "four", "five"]
+    assert texts("<p>one<script>var a='<p>no</p>'</SCRIPT >two<template><p>no</template>three<template>four") == ["onetwothreefour"]
+    assert texts("<!-->a<!--b--!>c<!--d") == ["ac"]
+    assert texts("<table><tr><td>a<td>b<tr><td>c</table>d") == ["a", "b", "c", "d"]
+    assert texts("<p>&#" + "9" * 5000 + "; &#x0000000041; &#0000065; &amp;lt;</p><p>cut <b") == ["\ufffd A A &lt;", "cut"]
 
 
 def test_token_files(spark, odd, none, tmp_path):

@@ -37,6 +37,10 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: fl
     score = np.full(n, np.log(p0 / (1 - p0)))
     base, inner = float(score[0]), 2**depth - 1
     features, thresholds, values = [], [], []
+    # features of two values are added up as one product, the others by bins
+    pairs = [j for j in range(m) if len(cuts[j]) == 1]
+    right = (binned[:, pairs] > 0).astype(np.float64)
+    wide = [j for j in range(m) if len(cuts[j]) > 1]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
         g, h = y - p, np.maximum(p * (1 - p), 1e-9)
@@ -46,18 +50,25 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: fl
             first, count = 2**level - 1, 2**level
             local = at - first
             best = np.full(count, 1e-6)
-            for j in range(m):
+            node = np.zeros((n, count))
+            node[np.arange(n), local] = 1
+            gt, ht = (node.T @ g)[:, None], (node.T @ h)[:, None]
+
+            def gains(gs: np.ndarray, hs: np.ndarray, gt=gt, ht=ht) -> np.ndarray:
+                return gs**2 / (hs + ridge) + (gt - gs) ** 2 / (ht - hs + ridge) - gt**2 / (ht + ridge)
+
+            found = [(pairs, gains(gt - (node * g[:, None]).T @ right, ht - (node * h[:, None]).T @ right))] if pairs else []
+            for j in wide:
                 key = local * bins + binned[:, j]
-                gs = np.bincount(key, g, count * bins).reshape(count, bins).cumsum(1)
-                hs = np.bincount(key, h, count * bins).reshape(count, bins).cumsum(1)
-                gt, ht = gs[:, -1:], hs[:, -1:]
-                gain = gs**2 / (hs + ridge) + (gt - gs) ** 2 / (ht - hs + ridge) - gt**2 / (ht + ridge)
-                gain[:, len(cuts[j]) :] = 0
+                sums = (np.bincount(key, v, count * bins).reshape(count, bins).cumsum(1)[:, : len(cuts[j])] for v in (g, h))
+                found.append(([j] * len(cuts[j]), gains(*sums)))
+            for js, gain in found:
                 where = gain.argmax(1)
                 top = gain[np.arange(count), where]
                 for k in np.flatnonzero(top > best).tolist():
+                    j, cut = js[where[k]], 0 if js is pairs else where[k]
                     best[k] = top[k]
-                    feature[first + k], cut_bin[first + k], threshold[first + k] = j, where[k], cuts[j][where[k]]
+                    feature[first + k], cut_bin[first + k], threshold[first + k] = j, cut, cuts[j][cut]
             at = 2 * at + 1 + (binned[np.arange(n), feature[at]] > cut_bin[at])
         leaf = at - inner
         value = rate * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + ridge)

@@ -28,11 +28,10 @@ from tidelog.llm.gbdt import BoostedTrees, fit
 #: Elements that begin a new block.
 BLOCKS = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main aside nav header "
-    "footer form fieldset figure figcaption blockquote pre address details summary dialog menu center button select textarea label hr".split()
+    "footer form fieldset figure figcaption blockquote pre address details summary dialog menu center button select textarea label noscript hr".split()
 )
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video title head".split())
-VOID = frozenset("br hr img input meta link area base col embed param source track wbr".split())
+#: Elements whose content is no text of the page, up to their end tags; without one, the first kind takes the rest of the page.
+RAW, INERT = frozenset("script style title iframe".split()), frozenset(["template"])
 #: What an opening tag closes first, up to the nearest of the fences.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
@@ -55,8 +54,17 @@ TAG_GROUPS = {"container": "div section body html center", "main": "article main
 GROUP_OF = {t: k for k, ts in TAG_GROUPS.items() for t in ts.split()}
 GROUPS = list(TAG_GROUPS)
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<]*\Z""", re.S)
+#: A comment, a tag or a declaration.  Every part stops where the next one begins and gives nothing back, so a page takes one pass however
+#: it is broken; what the page's end cuts off is a token too.  Quotes count behind an equals sign only.
+TOKEN = re.compile(
+    r"""<(?:!--(?:-?>|.*?--!?>|.*+)|(/?+)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))""",
+    re.S,
+)
+#: A character reference by a number of eight digits or more.
+LONG_REFERENCE = re.compile(r"&#(?:([0-9]{8,}+)|[xX]([0-9a-fA-F]{8,}+));?")
 ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Characters of pages whose nodes are scored together.
+TOGETHER = 500_000
 LABEL = re.compile(r'data-y="([01])"')
 SPLIT = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -82,19 +90,51 @@ def attribute_kinds(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _unescaped(text: str) -> str:
+    """Character references decoded; numbers beyond Unicode, however long, become U+FFFD."""
+
+    def short(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0") or "0"
+        return "\ufffd" if len(digits) > 7 else f"&#{'' if m[1] else 'x'}{digits};"
+
+    return html.unescape(LONG_REFERENCE.sub(short, text) if "&#" in text else text)
+
+
+class _Stack:
+    """Open elements, with the places of each name, so that the nearest of a name is found at once."""
+
+    def __init__(self):
+        self.nodes, self.names, self.places = [0], ["#root"], {}
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.names.append(name)
+
+    def cut(self, at: int) -> None:
+        """Close all elements from this place on."""
+        for name in self.names[at:]:
+            self.places[name].pop()
+        del self.nodes[at:], self.names[at:]
+
+    def nearest(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+
 def parse(source: str) -> Page:
     page = Page()
     tags, parents, depths = page.tag, page.parent, page.depth
-    stack = [0]
+    stack = _Stack()
     run: list[str] = []
+    missing: set[str] = set()  # names without an end tag further on
     links, in_link, at, n = 0, False, 0, len(source)
 
     def flush() -> None:
         nonlocal links
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            text = " ".join(_unescaped("".join(run)).split())
             if text:
-                up = stack[-1]
+                up = stack.nodes[-1]
                 tags.append("#text")
                 parents.append(up)
                 depths.append(depths[up] + 1)
@@ -105,6 +145,14 @@ def parse(source: str) -> Page:
             run.clear()
         links = 0
 
+    def skip(name: str, at: int) -> int:
+        """Behind the end tag of an element without text."""
+        end = None if name in missing else re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(source, at)
+        if end is None:
+            missing.add(name)
+            return n if name in RAW else at
+        return end.end()
+
     find = TOKEN.search
     while at < n:
         m = find(source, at)
@@ -117,28 +165,23 @@ def parse(source: str) -> Page:
                 links += m.start() - at
         at = m.end()
         name = m[2]
-        if name is None:
+        if name is None or source[at - 1] != ">":
             continue
         name = name.lower()
         if m[1]:
             if name == "a":
                 in_link = False
             elif name in BLOCKS:
-                k = len(stack) - 1
-                while k > 0 and tags[stack[k]] != name:
-                    k -= 1
+                k = stack.nearest((name,))
                 if k > 0:
                     flush()
-                    del stack[k:]
+                    stack.cut(k)
                     in_link = False
                 elif name == "p":
                     flush()
-        elif name in RAW:
+        elif name in RAW or name in INERT:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>|<body(?=[\s/>])" if name == "head" else rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                at = n if end is None else end.start() if name == "head" else end.end()
-                if name == "head" and end is not None and source[at + 1] == "/":
-                    at = end.end()
+                at = skip(name, at)
         elif name == "br":
             run.append(" ")
         elif name == "a":
@@ -146,18 +189,18 @@ def parse(source: str) -> Page:
         elif name in BLOCKS:
             flush()
             in_link = False
-            while tags[stack[-1]] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (name != "button" and name != "label"):
-                stack.pop()
+            while stack.names[-1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (name != "button" and name != "label"):
+                stack.cut(len(stack.nodes) - 1)
             if name in CLOSES:
                 ends, fences = CLOSES[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] in fences:
-                        break
-                    if tags[stack[k]] in ends:
-                        del stack[k:]
+                last = stack.nearest(fences)
+                while (k := stack.nearest(ends)) > last:
+                    closed = stack.names[k]
+                    stack.cut(k)
+                    if closed == name or name != "tr":
                         break
             if name != "hr":
-                up = stack[-1]
+                up = stack.nodes[-1]
                 tags.append(name)
                 parents.append(up)
                 depths.append(depths[up] + 1)
@@ -166,16 +209,13 @@ def parse(source: str) -> Page:
                 page.link.append(0)
                 y = LABEL.search(m[3])
                 page.label.append(int(y[1]) if y else page.label[up])
-                stack.append(len(tags) - 1)
+                stack.push(name, len(tags) - 1)
     flush()
     return page
 
 
-N_FEATURES = 26 + len(GROUPS) + 3 * len(KINDS)
-
-
 def features(page: Page) -> np.ndarray:
-    """A row for each node but the root."""
+    """A row (32-bit floats) for each node but the root."""
     n = len(page.tag)
     parent = page.parent
     chars = [len(t) for t in page.text]
@@ -198,8 +238,8 @@ def features(page: Page) -> np.ndarray:
     left, right = [0] * n, [0] * n
     group = [GROUPS.index(GROUP_OF.get(t, "container")) for t in page.tag]
     same = [0] * n
-    own, above = np.zeros((n, len(KINDS))), np.zeros((n, len(KINDS)))
-    above_tags = np.zeros((n, 7))
+    own, above = np.zeros((n, len(KINDS)), np.float32), np.zeros((n, len(KINDS)), np.float32)
+    above_tags = np.zeros((n, 7), np.float32)
     special = {"menu": 0, "header": 1, "footer": 2, "aside": 3, "form": 4, "main": 5, "heading": 6}
     for k in range(1, n):
         p = parent[k]
@@ -223,7 +263,7 @@ def features(page: Page) -> np.ndarray:
             above_tags[k, s] = 1
         for kind in page.kinds[k]:
             own[k, KINDS.index(kind)] = 1
-    below = np.zeros((n, len(KINDS)))
+    below = np.zeros((n, len(KINDS)), np.float32)
     for k in range(n - 1, 0, -1):
         if page.kinds[k] or below[k].any():
             below[parent[k]] = np.maximum(below[parent[k]], np.maximum(own[k], below[k]))
@@ -237,8 +277,8 @@ def features(page: Page) -> np.ndarray:
         np.array(page.depth, float), np.array(order) / np.maximum(kids[p], 1), np.log1p(np.array(order)), kids[p], c / total, c / np.maximum(c[p], 1), np.array(offset) / total,
         np.log1p(np.array(left)), np.log1p(np.array(right)), np.array(same, float),
     ], 1)
-    one = np.eye(len(GROUPS))[group]
-    return np.concatenate([base, above_tags, one, own, above, below], 1)[1:]
+    one = np.eye(len(GROUPS), dtype=np.float32)[group]
+    return np.concatenate([base.astype(np.float32), above_tags, one, own, above, below], 1)[1:]
 
 
 def decode(page: Page, log_odds: np.ndarray) -> list[int]:
@@ -264,125 +304,191 @@ def decode(page: Page, log_odds: np.ndarray) -> list[int]:
 
 
 class _Composer:
-    """Pages from a grammar of parts; each element carries the label of its role."""
+    """Pages from a grammar of sites, parts and habits of markup; each element carries the label of its role.
+
+    Nothing in it is taken from any table: roles, layouts (semantic elements,
+    named or nameless boxes, layout tables, bare bodies) and habits (end tags
+    left out, upper-case tags, unquoted attributes) are those that public
+    documentation of HTML describes, words are random letters.
+    """
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
-        self.vocabulary = ["".join(self.r.choices("etaoinshrdlucmfwypvbgk", k=self.r.randint(1, 9))) for _ in range(800)]
+        letters = "eeeeaaaiiioounnttrrsslldcmpghbfvkwyzxjq"
+        self.vocabulary = ["".join(self.r.choices(letters, k=min(14, 1 + int(self.r.expovariate(0.22))))) for _ in range(1_500)]
+        self.habits()
+
+    def habits(self) -> None:
+        """Draw the habits of one page's author."""
+        r = self.r
+        self.keeps_ends = r.choice((1.0, 1.0, 1.0, 0.85, 0.3))
+        self.upper = r.random() < 0.06
+        self.unquoted = r.random() < 0.1
+        self.prefix = r.choice(("", "", "", "site-", "c-", "js-", "t_"))
+        self.stops = r.choice((1.0, 1.0, 0.6, 0.0))  # how often sentences have marks at all
 
-    def words(self, lo: int, hi: int) -> str:
+    def sentence(self) -> str:
         r = self.r
-        ws = r.choices(self.vocabulary, k=r.randint(lo, hi))
-        style = r.random()
-        if style < 0.1:
-            ws = [w + r.choice(("***", "###", "&amp;&amp;", "%%%")) for w in ws]
-        elif style < 0.14:
-            ws = [w.upper() + "!!" for w in ws]
-        elif style < 0.18:
-            ws = " | ".join(ws).split(" ")
-        elif style < 0.9:
-            ws = [w + r.choice((",", ".", ".", "")) if r.random() < 0.2 else w for w in ws]
-        return " ".join(ws).capitalize()
-
-    def el(self, tag: str, body: str, y: int, names: str = "", close: float = 1.0) -> str:
+        ws = r.choices(self.vocabulary, k=r.randint(4, 22))
+        ws[0] = ws[0].capitalize()
+        if r.random() < self.stops:
+            for k in range(len(ws) - 1):
+                if r.random() < 0.08:
+                    ws[k] += ","
+            ws[-1] += r.choices((".", "?", "!", ":"), (20, 1, 1, 1))[0]
+        return " ".join(ws)
+
+    def prose(self, lo: int, hi: int) -> str:
+        r = self.r
+        out = []
+        for _ in range(r.randint(lo, hi)):
+            s = self.sentence()
+            style = r.random()
+            if style < 0.06:
+                k = s.find(" ") + 1
+                s = s[:k] + f'<a href="/p">{s[k:]}</a>'
+            elif style < 0.12:
+                s = f"<{(e := r.choice(('b', 'i', 'em', 'strong', 'code', 'span')))}>{s}</{e}>"
+            out.append(s)
+        return r.choice((" ", " ", "\n")).join(out)
+
+    def label(self, lo: int, hi: int) -> str:
+        ws = self.r.choices(self.vocabulary, k=self.r.randint(lo, hi))
+        return " ".join(w.capitalize() for w in ws) if self.r.random() < 0.5 else " ".join(ws).capitalize()
+
+    def el(self, tag: str, body: str, y: int, names: str = "", close: bool = True) -> str:
         r = self.r
         attr = f' data-y="{y}"'
         if names:
             name = r.choice(names.split())
-            attr += f' {r.choice(("class", "class", "id"))}="{r.choice(("", "", "site-", "c-", "page-"))}{name}{r.choice(("", "", "-box", "-1", " wide", "s"))}"'
-        return f"<{tag}{attr}>{body}" + (f"</{tag}>" if r.random() < close else "")
+            value = self.prefix + name + r.choice(("", "", "", "-box", "-1", "s", "Area", "_inner"))
+            if r.random() < 0.2:
+                value += r.choice((" row", " clearfix", " wide", " is-open"))
+            attr += f" {r.choice(('class', 'class', 'class', 'id'))}=" + (value.split(" ")[0] if self.unquoted else f'"{value}"')
+        optional = tag in ("p", "li", "td", "tr", "dt", "dd")
+        end = f"</{tag}>" if close and not (optional and r.random() > self.keeps_ends) else ""
+        return f"<{tag.upper()}{attr}>{body}{end.upper()}" if self.upper else f"<{tag}{attr}>{body}{end}"
 
     def links(self, lo: int, hi: int, y: int = 0) -> str:
         r = self.r
-        items = [f'<a href="/x">{self.words(1, 3)}</a>' for _ in range(r.randint(lo, hi))]
-        if r.random() < 0.75:
-            return self.el(r.choice(("ul", "ul", "ol")), "".join(self.el("li", i, y) for i in items), y)
-        return r.choice((" ", " | ", " &middot; ")).join(items)
+        items = [f'<a href="/{r.randint(1, 99)}">{self.label(1, 4)}</a>' for _ in range(r.randint(lo, hi))]
+        if r.random() < 0.7:
+            return self.el(r.choice(("ul", "ul", "ul", "ol")), "".join(self.el("li", i, y) for i in items), y)
+        if r.random() < 0.3:
+            return "".join(self.el("div", i, y) for i in items)
+        return r.choice((" ", " | ", " &middot; ", " / ")).join(items)
 
     def noise(self, kind: str) -> str:
-        r, el, w = self.r, self.el, self.words
-        named = WORDS[kind]
-        plain = r.random() < 0.15
+        r, el = self.r, self.el
+        named = "" if r.random() < 0.12 else WORDS[kind]
+        box = lambda *more: r.choice(("div", "div", "section", *more))
+        some = lambda: r.choice((self.label(3, 14), self.prose(1, 4), el("p", self.prose(1, 4), 0)))
         if kind == "menu":
-            return el("nav", self.links(2, 9), 0) if r.random() < 0.5 else el(r.choice(("div", "ul", "section")), self.links(3, 9), 0, "" if plain else named)
+            body = self.links(2, 12)
+            return el("nav", body, 0, r.choice(("", WORDS[kind]))) if r.random() < 0.5 else el(box("ul"), body, 0, named or "list")
         if kind == "header":
-            body = el(r.choice(("h1", "div", "p", "span")), w(1, 6), 0) + (el("p", w(2, 12), 0) if r.random() < 0.5 else "") + (self.noise("menu") if r.random() < 0.4 else "")
-            return el("header", body, 0) if r.random() < 0.6 else el("div", body, 0, named)
+            body = el(r.choice(("h1", "div", "p", "a")), self.label(1, 4), 0) + r.choice(("", el("p", self.label(2, 10), 0), el("p", self.sentence(), 0))) + (self.noise("menu") if r.random() < 0.4 else "") + (self.noise("form") if r.random() < 0.15 else "")
+            return el("header", body, 0) if r.random() < 0.6 else el("div", body, 0, named or WORDS[kind])
         if kind == "footer":
-            body = r.choice((w(3, 25), "&copy; " + w(1, 4) + " &middot; " + w(3, 20), el("p", w(3, 25), 0) + self.links(2, 5)))
-            return el("footer", body, 0) if r.random() < 0.65 else el("div", body, 0, named)
+            body = r.choice((self.label(3, 20), "&copy; 2020 " + self.label(1, 4) + " &middot; " + self.label(3, 9), el("p", self.prose(1, 3), 0) + self.links(2, 6), "".join(el("div", el("h4", self.label(1, 2), 0) + self.links(2, 5), 0) for _ in range(3))))
+            return el("footer", body, 0) if r.random() < 0.65 else el(box("p"), body, 0, named or WORDS[kind])
         if kind == "side":
-            body = "".join(el("div", el("h3", w(1, 5), 0) + r.choice((self.links(2, 6), el("p", w(5, 50), 0))), 0, r.choice(("", "widget", "box"))) for _ in range(r.randint(1, 3)))
-            return el("aside", body if r.random() < 0.7 else el("p", w(4, 60), 0), 0, r.choice(("", named))) if r.random() < 0.6 else el(r.choice(("div", "section")), body, 0, named)
+            parts = [el("div", el(r.choice(("h2", "h3", "h4")), self.label(1, 5), 0) + r.choice((self.links(2, 8), some())), 0, r.choice(("", "widget", "box", "related"))) for _ in range(r.randint(1, 4))]
+            return el("aside", "".join(parts) if r.random() < 0.7 else some(), 0, named) if r.random() < 0.55 else el(box(), "".join(parts), 0, named or WORDS[kind])
         if kind == "advert":
-            return el(r.choice(("div", "div", "aside", "p", "section")), r.choice((w(3, 40), el("p", w(3, 40), 0), f'<a href="/x">{w(2, 10)}</a>', el("h3", w(2, 6), 0) + el("p", w(5, 30), 0))), 0, named)
+            body = r.choice((some(), f'<a href="/ad">{self.label(2, 10)}</a>', el("h3", self.label(2, 6), 0) + el("p", self.prose(1, 3), 0)))
+            return el(box("aside", "p", "ins"), body, 0, WORDS[kind])
         if kind == "notice":
-            return el(r.choice(("div", "div", "section", "p", "aside")), r.choice((w(5, 45), el("p", w(5, 45), 0) + f"<button data-y=\"0\">{w(1, 2)}</button>")), 0, named)
+            body = some() + r.choice(("", el("button", self.label(1, 2), 0)))
+            return el(box("p", "aside", "dialog", "noscript"), body, 0, WORDS[kind])
         if kind == "comment":
-            one = lambda: el(r.choice(("div", "li", "article", "p")), r.choice((w(4, 70), el("p", w(4, 70), 0), el("b", w(1, 2), 0) + el("p", w(4, 70), 0))), 0, r.choice(("", "comment reply")))
-            return el(r.choice(("section", "div", "div", "ul", "ol")), (el("h3", w(1, 3), 0) if r.random() < 0.6 else "") + "".join(one() for _ in range(r.randint(1, 6))), 0, named)
+            author = lambda: r.choice(("", el("b", self.label(1, 2), 0), el("div", self.label(1, 4), 0, "author meta"), el("cite", self.label(1, 2), 0)))
+            inner = lambda: r.choice(("div", "li", "article", "p"))
+
+            def one(depth: int) -> str:
+                replies = "".join(one(depth + 1) for _ in range(r.randint(0, 2))) if depth < 2 and r.random() < 0.3 else ""
+                return el(inner(), author() + r.choice((self.prose(1, 5), el("p", self.prose(1, 6), 0))) + replies, 0, r.choice(("", "comment reply message")))
+
+            return el(box("ul", "ol"), (el(r.choice(("h2", "h3")), self.label(1, 3), 0) if r.random() < 0.6 else "") + "".join(one(0) for _ in range(r.randint(1, 7))), 0, WORDS[kind])
         if kind == "form":
-            body = "".join(f"<label data-y=\"0\">{w(1, 3)}</label><input>" for _ in range(r.randint(0, 3))) + r.choice(("", el("p", w(2, 20), 0))) + f"<button data-y=\"0\">{w(1, 2)}</button>"
-            return el("form", body, 0, r.choice(("", named)))
-        return el(r.choice(("div", "ul", "section")), self.links(2, 6), 0, named)
+            body = "".join(el("label", self.label(1, 3), 0) + "<input>" for _ in range(r.randint(0, 3))) + r.choice(("", some())) + r.choice(("", el("select", "".join(f"<option>{self.label(1, 2)}" for _ in range(3)), 0))) + el("button", self.label(1, 2), 0)
+            return el("form", body, 0, named) if r.random() < 0.85 else el("div", body, 0, WORDS[kind])
+        return el(box("ul"), self.links(2, 6), 0, WORDS["social"])
+
+    def block(self) -> str:
+        """One block of main text."""
+        r, el = self.r, self.el
+        kind = r.random()
+        if kind < 0.62:
+            return el("p", self.prose(1, r.choice((1, 2, 4, 7, 12))) + r.choice(("", "", "", "<br>" + self.prose(1, 2))), 1)
+        if kind < 0.72:
+            return el(r.choice(("h2", "h3", "h4")), self.label(1, 8), 1)
+        if kind < 0.8:
+            return el(r.choice(("ul", "ol")), "".join(el("li", r.choice((self.label(1, 6), self.prose(1, 2), el("p", self.prose(1, 2), 1))), 1) for _ in range(r.randint(1, 8))), 1)
+        if kind < 0.84:
+            return el(r.choice(("blockquote", "div")), r.choice((self.prose(1, 3), el("p", self.prose(1, 3), 1))), 1)
+        if kind < 0.87:
+            return el("pre", self.label(3, 30), 1)
+        if kind < 0.9:
+            return el("table", "".join(el("tr", "".join(el(r.choice(("td", "td", "th")), self.label(1, 5), 1) for _ in range(r.randint(2, 4))), 1) for _ in range(r.randint(1, 6))), 1)
+        if kind < 0.93:
+            return el("dl", "".join(el("dt", self.label(1, 3), 1) + el("dd", self.prose(1, 2), 1) for _ in range(r.randint(1, 5))), 1)
+        if kind < 0.96:
+            return el("figure", "<img src=x>" + el("figcaption", self.prose(1, 1), 1), 1)
+        return self.prose(1, 5) + r.choice(("", "<br><br>" + self.prose(1, 3)))
 
     def content(self) -> str:
-        r, el, w = self.r, self.el, self.words
-        sloppy = r.random() < 0.4
-        parts = []
+        r, el = self.r, self.el
+        parts = [self.block() for _ in range(r.choice((1, 1, 2, 3, 4, 6, 8, 12, 20)))]
+        if r.random() < 0.2:  # sections of their own
+            parts = [el(r.choice(("section", "div")), "".join(parts[k : k + 3]), 1) for k in range(0, len(parts), 3)]
         if r.random() < 0.85:
-            title = el(r.choice(("h1", "h1", "h2")), w(1, 12), 1)
-            parts.append(el("header", title + (el("p", w(2, 10), 1) if r.random() < 0.3 else ""), 1) if r.random() < 0.15 else title)
-        for _ in range(r.choice((0, 1, 1, 2, 3, 4, 6, 8, 12, 20))):
-            kind = r.random()
-            if kind < 0.72:
-                text = w(1, r.choice((4, 10, 40, 90, 200)))
-                parts.append(f'<p data-y="1"><b>{text}<br>' if sloppy and r.random() < 0.3 else el("p", text, 1, close=0.7 if sloppy else 1.0))
-            elif kind < 0.78:
-                parts.append(el(r.choice(("h2", "h3")), w(1, 8), 1))
-            elif kind < 0.84:
-                parts.append(el(r.choice(("ul", "ol")), "".join(el("li", w(1, 25), 1) for _ in range(r.randint(1, 6))), 1))
-            elif kind < 0.88:
-                parts.append(el(r.choice(("blockquote", "pre", "div")), r.choice((w(3, 40), el("p", w(3, 40), 1))), 1))
-            elif kind < 0.91:
-                parts.append(el("table", "".join(el("tr", "".join(el("td", w(1, 4), 1) for _ in range(3)), 1) for _ in range(r.randint(1, 4))), 1))
-            elif kind < 0.94:
-                parts.append(el("figure", "<img>" + el("figcaption", w(2, 15), 1), 1))
-            else:
-                parts.append(w(5, 50) + r.choice(("", "<br>" + w(3, 20))))
+            title = el(r.choice(("h1", "h1", "h1", "h2")), self.label(1, 12), 1)
+            parts.insert(0, el("header", title + (el("p", self.sentence(), 1) if r.random() < 0.3 else ""), 1) if r.random() < 0.15 else title)
         if r.random() < 0.3:
-            parts.insert(r.randint(0, len(parts)), self.noise(r.choice(("advert", "social", "notice", "side", "form"))))
-        if r.random() < 0.15:
-            parts.append(self.noise(r.choice(("comment", "footer", "side", "social"))))
+            parts.insert(r.randint(0, len(parts)), self.noise(r.choice(("advert", "advert", "social", "notice", "side", "form", "menu"))))
+        if r.random() < 0.2:
+            parts.append(self.noise(r.choice(("comment", "comment", "footer", "side", "social"))))
         return "".join(parts)
 
     def page(self) -> str:
-        r, el = self.r, self.el
-        body = self.content()
+        self.habits()
+        r, el, body = self.r, self.el, self.content()
         kind = r.random()
-        if kind < 0.45:
+        if kind < 0.35:
             core = el("article", body, 1, r.choice(("", "", WORDS["main"])))
-        elif kind < 0.6:
-            core = el("main", body if r.random() < 0.5 else el("article", body, 1), 1)
-        elif kind < 0.9:
-            core = el(r.choice(("div", "section")), body, 1, WORDS["main"])
-        else:
+            if r.random() < 0.3:
+                core = el("main", core, 1)
+        elif kind < 0.45:
+            core = el("main", body, 1, r.choice(("", "content")))
+        elif kind < 0.78:
+            core = el(r.choice(("div", "div", "section", "td")), body, 1, WORDS["main"])
+        elif kind < 0.92:
             core = el("div", body, 1)
-        top = [self.noise(k) for k in ("header", "menu", "notice", "advert", "form", "social") if r.random() < 0.42]
+        else:
+            core = body
+        for _ in range(r.choice((0, 0, 0, 1, 2, 4))):
+            core = el("div", core, 1, r.choice(("", "wrapper container row layout page inner col")))
+        quiet = r.choice((0.1, 1, 1, 1, 1, 1, 1))  # some pages have next to nothing besides their text
+        top = [self.noise(k) for k in ("header", "menu", "notice", "advert", "form", "social") if r.random() < 0.4 * quiet]
         r.shuffle(top)
-        end = [self.noise(k) for k in ("comment", "side", "advert", "social", "form", "notice") if r.random() < 0.3]
+        end = [self.noise(k) for k in ("comment", "side", "advert", "social", "form", "notice", "menu") if r.random() < 0.25 * quiet]
         r.shuffle(end)
-        if r.random() < 0.8:
+        if r.random() < 0.8 * quiet:
             end.append(self.noise("footer"))
-        if r.random() < 0.35:
-            side = self.noise("side")
-            core = el("div", core + side if r.random() < 0.7 else side + core, 1, r.choice(("", "wrapper container row layout page")))
-        page = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{self.words(2, 8)}</title><style>p{{}}</style></head><body data-y="1">' + "".join(top) + core + "".join(end) + "</body></html>"
-        return page[: r.randint(len(page) // 2, len(page))] if r.random() < 0.1 else page
+        if r.random() < 0.4 * quiet:
+            cells = [core, self.noise("side")] + ([self.noise("menu")] if r.random() < 0.3 else [])
+            r.shuffle(cells)
+            if r.random() < 0.2:  # a layout table
+                core = el("table", el("tr", "".join(el("td", c, 1 if c is core else 0) for c in cells), 1), 1)
+            else:
+                core = el("div", "".join(cells), 1, r.choice(("", "wrapper container row layout page")))
+        page = f'<html>{r.choice(("", "<head>"))}<title>{self.label(2, 8)}</title><body data-y="1">' + "".join(top) + core + "".join(end) + r.choice(("", "</body></html>"))
+        return page[: r.randint(len(page) // 2, len(page))] if r.random() < 0.08 else page
 
 
 @functools.lru_cache(2)
-def train(pages: int = 700, seed: int = 3) -> BoostedTrees:
+def train(pages: int = 400, seed: int = 3) -> BoostedTrees:
     """Trees for nodes, from composed pages; takes a few seconds, the same each time."""
     composer = _Composer(seed)
     xs, ys = [], []
@@ -391,7 +497,7 @@ def train(pages: int = 700, seed: int = 3) -> BoostedTrees:
         if len(p.tag) > 1:
             xs.append(features(p))
             ys += [1 if y is None else y for y in p.label[1:]]
-    return fit(np.concatenate(xs), np.array(ys, float))
+    return fit(np.concatenate(xs), np.array(ys, float), rounds=35, rate=0.3)
 
 
 def main_texts(sources: list[str], trees: BoostedTrees) -> list[str]:
@@ -410,20 +516,25 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str =
     """``id_col``, the columns of ``keep``, text (string), one row for each input row.
 
     Null html counts as empty; a page without main text gets an empty one.
-    Whole pages are read; character references are decoded, white space inside
-    a block becomes one space, blocks are joined by a line feed in page order.
+    Whole pages are read, in one pass however broken their markup; character
+    references are decoded, white space inside a block becomes one space, blocks
+    are joined by a line feed in page order.  Repeated rows give repeated rows,
+    an empty table none; other columns are not read.
     """
     trees = trees or train()
     names = [id_col, *keep, "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lo = 0
-            while lo < batch.num_rows:
-                part = batch.slice(lo, 200)
-                texts = main_texts([x.as_py() or "" for x in part.column(part.num_columns - 1)], trees)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=names)
-                lo += 200
+            texts, held, size = [], [], 0
+            for x in batch.column(batch.num_columns - 1):  # so many pages at once that their nodes take little memory
+                held.append(x.as_py() or "")
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    texts += main_texts(held, trees)
+                    held, size = [], 0
+            texts += main_texts(held, trees)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=names)
 
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
     return pages.select(id_col, *keep, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, f"{kinds}, text string")
