@@ -51,21 +51,45 @@ def test_top_k(spark):
     assert rows(topk.exact_top_k(df.limit(0), df, 5)) == [] and rows(topk.exact_top_k(df.filter("vec_id = 1"), df.limit(0), 5)) == []
 
 
-def test_top_k_prunes_exactly():
-    r = np.random.default_rng(1)
-    x = np.floor(256 * r.normal(size=(64, 3000)) * r.random(3000) ** 3)
-    q = np.floor(256 * r.normal(size=(64, 20)))
-    ids = r.permutation(3000).astype(np.int64)
-    got = {}
-    for a, b, s in topk.block_search(ids, x, np.arange(20), q, 7):
-        got.setdefault(a, []).append((-s, b))
-    for j in range(20):
-        assert got[j] == sorted((-int(s), int(i)) for s, i in zip(q[:, j] @ x, ids, strict=True) if i != j)[:7]
+def brute_top_k(ids, x, q_ids, q, k):
+    whole = lambda m: [[int(v) for v in column] for column in m.T]
+    limit = lambda v: max(-(2**63), min(2**63 - 1, v))
+    xs = whole(x)
+    return [sorted((-limit(sum(a * b for a, b in zip(v, w, strict=True))), int(i)) for i, w in zip(ids, xs, strict=True) if i != own)[:k] for own, v in zip(q_ids, whole(q), strict=True)]
 
 
-def test_top_k_of_huge_components():
-    x = np.array([[2.0**40, 1.0, -(2.0**40)]])
-    assert list(topk.block_search(np.array([1, 2, 3]), x, np.array([9]), np.array([[2.0**20]]), 2)) == [(9, 1, 2**60), (9, 2, 2**20)]
+@pytest.mark.parametrize("kind", ["clustered", "one outlier", "huge", "few values", "repeats"])
+def test_top_k_prunes_exactly(kind):
+    """Blocks one after the other against whole numbers; ids tie and repeat, a query meets its own row."""
+    r = np.random.default_rng(1)
+    centres = 40 * r.normal(size=(64, 12)) * (np.arange(64)[:, None] < 16)
+    x = np.floor(256 * (centres[:, r.integers(0, 12, 3000)] / 40 + 0.1 * r.normal(size=(64, 3000))))
+    q = np.floor(256 * (centres[:, r.integers(0, 12, 9)] / 40 + 0.1 * r.normal(size=(64, 9))))
+    if kind == "one outlier":
+        x[:, 1700] *= 2.0**40
+    elif kind == "huge":
+        x[5, ::7], q[5, ::2] = 2.0**62, -(2.0**62)
+    elif kind == "few values":
+        x, q = np.sign(x) * (np.abs(x) > 200), np.sign(q)
+    ids = r.permutation(3000).astype(np.int64)
+    if kind == "repeats":
+        ids = ids // 3
+    q_ids = np.arange(9, dtype=np.int64)
+    best, shares = [[] for _ in q_ids], []
+    for lo in range(0, 3000, 1000):
+        shares.append(topk.block_search(ids[lo : lo + 1000], x[:, lo : lo + 1000], q_ids, q, 7, best))
+    assert best == brute_top_k(ids, x, q_ids, q, 7)
+    assert kind != "clustered" or (shares[0] < 0.8 and shares[-1] < 0.5), shares
+
+
+def test_top_k_of_huge_components(spark):
+    """Beyond 64 bits a component takes its vector out and a score stays at the limit."""
+    v = [(1, [2.0**32]), (2, [2.0**32]), (3, [3.4e38]), (4, [1e307]), (5, [-(2.0**32)]), (6, [2.0**20]), (7, [1.7e308])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in rows(topk.exact_top_k(df.filter("vec_id = 1"), df, 5).orderBy("rank"))]
+    assert got == [(1, 2, 2**63 - 1), (2, 6, 2**63 - 1), (3, 5, -(2**63))]
+    floats = df.select("vec_id", F.col("embedding").cast("array<float>"))
+    assert len(rows(topk.exact_top_k(floats, floats, 2))) == 8
 
 
 def test_bpe(odd, none):

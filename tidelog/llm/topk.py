@@ -2,15 +2,23 @@
 
 Candidates are packed into blocks of bounded size in vertical layout (one row
 of the matrix for each dimension), queries into blocks too, and every query
-block meets every candidate block once.  Inside a pair of blocks partial
-products are accumulated a block of dimensions at a time.  What the remaining
-dimensions can add is at most the product of the two vectors' remaining norms
-(Cauchy-Schwarz), their remaining mass; a candidate whose bound falls below the
-k-th best guaranteed score is dropped and the survivors are compacted.
+block meets every candidate block once.  Inside a pair of blocks the dimensions
+go in order of their energy, and partial products are accumulated a few
+dimensions at a time.  What the remaining dimensions can add is at most the
+product of the two vectors' remaining norms (Cauchy-Schwarz), their remaining
+mass; a candidate whose bound falls below the k-th best score that the query has
+is dropped and the survivors are compacted.  A task carries the k best of a query
+from block to block, so later blocks begin with its bound, and a block's first
+candidates are scored in full to have one from the start.
+
+Sums are 64-bit floats, which are exact for integers below 2^53; pairs of
+vectors so long that theirs may not be are told apart with a margin for rounding,
+and scores of the few that are left are added up again as whole numbers.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,57 +26,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors a block; with the dimension they bound a task's memory.
-CANDIDATE_BLOCK, QUERY_BLOCK, DIMS = 8192, 1024, 16
-
-
-def block_search(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query id, vec id, score) of the k best of this block for each query.
+#: Vectors a block; with the dimension they bound a task's memory.  Dimensions a step; candidates scored in full first.
+CANDIDATE_BLOCK, QUERY_BLOCK, DIMS, FIRST = 8192, 1024, 8, 256
+#: Query blocks whose best scores a task carries along; those of the block met longest ago are sent on when there are more.
+CARRIED = 256
+#: Products of norms up to which sums are exact.
+EXACT = 2.0**52
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+#: (-score, id) of the best candidates of a query, in order.
+Best = list[tuple[int, int]]
+
+
+def _within(sums: np.ndarray) -> np.ndarray:
+    """Bounds of scores, which stay within 64 bits."""
+    return np.clip(sums, -(2.0**63), 2.0**63)
+
+
+def _score(x: np.ndarray, q: np.ndarray) -> int:
+    """Whole-number inner product, kept within 64 bits."""
+    return max(LEAST, min(MOST, sum(int(a) * int(b) for a, b in zip(x, q, strict=True))))
+
+
+class _Chunk:
+    """Candidates of a block, dimensions in order of energy."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, best: list[Best]):
+        self.ids, self.x, self.q_ids, self.q, self.k, self.best = ids, x, q_ids, q, k, best
+        self.norm_x, self.norm_q = np.sqrt((x**2).sum(0)), np.sqrt((q**2).sum(0))
+        self.work = 0
+
+    def margin(self, j: int, at) -> np.ndarray:
+        """What rounding may make of a sum."""
+        long = self.norm_q[j] * self.norm_x[at]
+        return np.where(long < EXACT, 0.0, long * (len(self.x) + 2) * 2.0**-52)
+
+    def floor(self, j: int, sums: np.ndarray, slack: np.ndarray) -> float:
+        """The k-th best score that query j has for certain."""
+        known = float(-self.best[j][-1][0]) if len(self.best[j]) == self.k else -np.inf
+        if len(sums) > 4 * self.k:
+            known = max(known, np.partition(_within(sums - slack), len(sums) - self.k)[len(sums) - self.k])
+        return known
+
+    def keep(self, j: int, at: np.ndarray, sums: np.ndarray) -> None:
+        """Take the best of the finished candidates ``at`` to query j's."""
+        own = self.ids[at] != self.q_ids[j]
+        at, sums = at[own], sums[own]
+        margin = self.margin(j, at)
+        near = _within(sums + margin) >= self.floor(j, sums, margin)
+        at, sums, margin = at[near], sums[near], margin[near]
+        if len(at) > self.k and not margin.any():
+            top = np.lexsort((self.ids[at], -sums))[: self.k]
+            at, sums, margin = at[top], sums[top], margin[top]
+        found = [(-(int(s) if e == 0 else _score(self.x[:, i], self.q[:, j])), int(self.ids[i])) for i, s, e in zip(at.tolist(), sums.tolist(), margin.tolist(), strict=True)]
+        self.best[j] = sorted(self.best[j] + found)[: self.k]
+
+    def search(self) -> None:
+        dims, n = self.x.shape
+        x, q = self.x, self.q
+        starts = list(range(0, dims, DIMS)) or [0]
+        rest = lambda m: np.sqrt(np.cumsum((m**2)[::-1], axis=0)[::-1])
+        rest_x, rest_q = rest(x), rest(q)
+        sums = q[: starts[0] + DIMS].T @ x[: starts[0] + DIMS]  # all queries at once
+        self.work += sums.size * min(DIMS, dims)
+        every, few = np.arange(n), {}
+        many = list(range(q.shape[1]))
+        for step, start in enumerate(starts):
+            if step:
+                rows = slice(start, start + DIMS)
+                width = min(DIMS, dims - start)
+                if many:
+                    sums[many] += q[rows, many].T @ x[rows]
+                    self.work += len(many) * n * width
+                for j, (at, part) in few.items():
+                    few[j] = at, part + q[rows, j] @ x[rows, at]
+                    self.work += len(at) * width
+            if step + 1 == len(starts):
+                break
+            left_x, left_q = rest_x[start + DIMS], rest_q[start + DIMS]
+            for j in [*many, *few]:
+                at, part = few.get(j, (every, sums[j]))
+                if len(at) <= 4 * self.k:
+                    continue
+                slack = left_q[j] * left_x[at] * (1 + 1e-9) + 1e-6 + self.margin(j, at)
+                # the query's own row may be among the certain ones, so that one more is asked for
+                hope = np.flatnonzero(_within(part + slack) >= self._floor_but_own(j, at, part, slack))
+                if len(hope) < 0.5 * len(at):
+                    few[j] = at[hope], part[hope]
+            many = [j for j in many if j not in few]
+        for j in many:
+            self.keep(j, every, sums[j])
+        for j, (at, part) in few.items():
+            self.keep(j, at, part)
+
+    def _floor_but_own(self, j: int, at: np.ndarray, part: np.ndarray, slack: np.ndarray) -> float:
+        own = self.ids[at] == self.q_ids[j]
+        return self.floor(j, part[~own], slack[~own]) if own.any() else self.floor(j, part, slack)
+
+
+def block_search(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, best: list[Best]) -> float:
+    """Improve ``best``, for each query its k best so far, by a block; returns the share of the products that were taken.
 
     ``x`` and ``q`` have a row for each dimension.  A candidate with the
     query's own id is passed over; ties go to the smaller id.
     """
-    dims, n = x.shape
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[:, order]
-    top = max(float(np.abs(x).max(initial=0)), float(np.abs(q).max(initial=0)))
-    if top * top * max(dims, 1) >= 2.0**53:  # beyond exact doubles: plain integers, without bounds
-        for j, own in enumerate(q_ids.tolist()):
-            column = [int(v) for v in q[:, j]]
-            scores = sorted((-sum(int(a) * b for a, b in zip(x[:, i], column, strict=True)), int(ids[i])) for i in range(n) if ids[i] != own)
-            for s, i in scores[:k]:
-                yield own, i, -s
-        return
-    starts = list(range(0, dims, DIMS)) or [0]
-    rest_x = [np.sqrt((x[d:] ** 2).sum(0)) for d in [*starts[1:], dims]]
-    rest_q = [np.sqrt((q[d:] ** 2).sum(0)) for d in [*starts[1:], dims]]
-    first = q[: starts[1] if len(starts) > 1 else dims].T @ x[: starts[1] if len(starts) > 1 else dims]  # all queries at once
-    for j, own in enumerate(q_ids.tolist()):
-        partial, alive = first[j], None
-        lo, hi = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
-        if hi > lo:
-            alive = np.r_[0:lo, hi:n]
-            partial = partial[alive]
-        for step in range(len(starts)):
-            if step:
-                rows = x[starts[step] : starts[step] + DIMS]
-                partial = partial + q[starts[step] : starts[step] + DIMS, j] @ (rows if alive is None else rows[:, alive])
-            if step + 1 < len(starts) and len(partial) > 4 * k:
-                slack = rest_q[step][j] * (rest_x[step] if alive is None else rest_x[step][alive]) * (1 + 1e-9) + 1e-6
-                floor = np.partition(partial - slack, len(partial) - k)[len(partial) - k]
-                keep = np.flatnonzero(partial + slack >= floor)
-                if len(keep) < 0.7 * len(partial):
-                    alive = keep if alive is None else alive[keep]
-                    partial = partial[keep]
-        if alive is None:
-            alive = np.arange(n)
-        if len(partial) > k:
-            floor = np.partition(partial, len(partial) - k)[len(partial) - k]
-            keep = np.flatnonzero(partial >= floor)
-            alive, partial = alive[keep], partial[keep]
-        best = np.lexsort((ids[alive], -partial))[:k]
-        for i in best.tolist():
-            yield own, int(ids[alive[i]]), int(partial[i])
+    order = np.argsort(-(x**2).sum(1) * (q**2).sum(1), kind="stable")
+    x, q = x[order], q[order]
+    cut = min(FIRST, x.shape[1]) if any(len(b) < k for b in best) else 0
+    work = 0
+    for part in (slice(0, cut), slice(cut, None)):
+        if len(ids[part]):
+            chunk = _Chunk(ids[part], x[:, part], q_ids, q, k, best)
+            chunk.search()
+            work += chunk.work
+    return work / max(x.size * q.shape[1], 1)
 
 
 def _packed(vectors: DataFrame, size: int, id_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -92,8 +163,10 @@ def _packed(vectors: DataFrame, size: int, id_col: str, vec_col: str, scale: flo
             for dim in np.unique(lengths[lengths >= 0]).tolist():
                 at = np.flatnonzero(lengths == dim)
                 rows = values[(ends[at] - dim)[:, None] + np.arange(dim)] if dim else np.zeros((len(at), 0))
-                good = np.isfinite(rows).all(1)
-                at, rows = at[good], np.floor(rows[good] * scale)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    rows = np.floor(rows * scale)
+                    good = (np.abs(rows) < 2.0**63).all(1)  # neither NaN nor infinite
+                at, rows = at[good], rows[good]
                 for lo in range(0, len(at), size):
                     part = ids[at[lo : lo + size]].astype(np.int64), rows[lo : lo + size]
                     if count.get(dim, 0) + len(part[0]) > size:
@@ -111,34 +184,47 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str =
     """query_id (long), rank (int, from 1), vec_id, score (long): the k highest inner products of floor(scale * x).
 
     Vectors that are null or hold a null or non-finite component take no part,
-    nor do rows without an id; vectors meet those of their own dimension only.
+    nor do those with a component whose floor(scale * x) is no 64-bit integer
+    and rows without an id; vectors meet those of their own dimension only.
+    Scores beyond 64 bits are given as the nearest number that fits.
     A query doesn't meet rows with its own id.  Ties go to the smaller id, and
     rows repeated under one id each count.  Fewer than k rows: all.  Other
     columns are not read.
 
     Query blocks are dealt to groups of candidate blocks by an equi-join, so
-    the traffic is that of blocks, and each pair of blocks sends on at most k
-    rows a query.
+    the traffic is that of blocks, and each task sends on at most k rows a query
+    and CARRIED query blocks.
     """
     spark = candidates.sparkSession
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # no more groups than blocks, so that no copy of the queries meets nothing
+    groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-candidates.count() // CANDIDATE_BLOCK)))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: OrderedDict[int, tuple[np.ndarray, list[Best]]] = OrderedDict()
+
+        def out(q_ids: np.ndarray, best: list[Best]) -> pa.RecordBatch:
+            rows = [(own, i, -s) for own, b in zip(q_ids.tolist(), best, strict=True) for s, i in b]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
+
         for batch in batches:
             for row in range(batch.num_rows):
-                dim, n, ids, matrix, m, q_ids, q_matrix = (batch.column(c)[row] for c in range(7))
-                dim, n, m = dim.as_py(), n.as_py(), m.as_py()
-                found = list(block_search(
+                dim, n, ids, matrix, number, m, q_ids, q_matrix = (batch.column(c)[row] for c in range(8))
+                dim, n, m, number = dim.as_py(), n.as_py(), m.as_py(), number.as_py()
+                own, best = carried.pop(number, None) or (np.frombuffer(q_ids.as_py(), np.int64), [[] for _ in range(m)])
+                block_search(
                     np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(matrix.as_buffer(), np.float64).reshape(dim, n),
-                    np.frombuffer(q_ids.as_buffer(), np.int64), np.frombuffer(q_matrix.as_buffer(), np.float64).reshape(dim, m), k,
-                ))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
+                    own, np.frombuffer(q_matrix.as_buffer(), np.float64).reshape(dim, m), k, best,
+                )
+                carried[number] = own, best
+                if len(carried) > CARRIED:
+                    yield out(*carried.popitem(last=False)[1])
+        for held in carried.values():
+            yield out(*held)
 
     blocks = _packed(candidates, CANDIDATE_BLOCK, id_col, vec_col, scale).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    asked = _packed(queries, QUERY_BLOCK, id_col, vec_col, scale).select("dim", F.col("n").alias("m"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    pairs = blocks.join(asked, ["g", "dim"]).select("dim", "n", "ids", "matrix", "m", "q_ids", "q_matrix")
+    asked = _packed(queries, QUERY_BLOCK, id_col, vec_col, scale).select("dim", F.monotonically_increasing_id().alias("number"), F.col("n").alias("m"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    pairs = blocks.join(asked, ["g", "dim"]).select("dim", "n", "ids", "matrix", "number", "m", "q_ids", "q_matrix")
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
