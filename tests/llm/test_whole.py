@@ -44,7 +44,7 @@ def test_url_trees_go_by_lexical_features_and_not_by_words(spark):
     model = url_filter.UrlModel(spark)
     assert not any("listed" in n for n in model.names)
     weight = dict(zip(model.names, model.trees.featureImportances.toArray(), strict=True))
-    assert all(weight[f"_f_{k}"] > 0 for k in ("parameters", "depth", "suffix_rate", "hyphens"))
+    assert all(weight[f"_f_{k}"] > 0 for k in ("parameters", "depth", "suffix_rate", "hyphens", "entropy"))
     assert not set(url_filter.BLOCKED_WORDS) & set(url_filter.HELD_OUT_WORDS)
     held = url_filter.labelled_urls(2_000, seed=78, blocked_words=url_filter.HELD_OUT_WORDS)
     df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
@@ -55,6 +55,34 @@ def test_url_trees_go_by_lexical_features_and_not_by_words(spark):
     assert blocked > 0.9 and allowed > 0.9
 
 
+def other_urls(n, seed):
+    """URLs of another making: syllables of consonant and vowel, given names and places; block-listed ones of the kinds that public lists show."""
+    import random
+
+    r, out = random.Random(seed), []
+    word = lambda k: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(k))
+    for i in range(n):
+        bad = i % 2
+        if bad:
+            name = r.choice((f"{word(2)}-{word(2)}-{word(1)}", f"{word(2)}-{word(3)}", f"{word(2)}{r.randint(10, 9999)}", f"{r.randint(2, 99)}-{word(2)}-{word(2)}"))
+            tail = r.choice(("", f"/{word(2)}/{r.randint(1, 10**6)}/{word(3)}/{r.randint(1, 99)}", "/?" + "&".join(f"{word(1)}={r.randint(1, 10**6)}" for _ in range(r.randint(2, 5)))))
+        else:
+            name = r.choice((word(2), word(3), word(4), word(2) + word(2), f"{word(2)}-{word(3)}" if r.random() < 0.3 else word(3)))
+            tail = r.choice(("", "/", f"/{word(2)}", f"/{word(3)}/{word(2)}.html", f"/{r.randint(1990, 2024)}/{word(4)}", f"/{word(2)}?id={r.randint(1, 99)}"))
+        out.append((f"https://{r.choice(('', 'www.'))}{name}.{r.choice(('com', 'net', 'org', 'de', 'info'))}{tail}", bad))
+    return out
+
+
+def test_url_trees_on_urls_of_another_making(spark):
+    held = other_urls(2_000, 5)
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+    told = {r["page_id"]: r["verdict"] == "block" for r in rows(url_filter.filter_urls(df, (), url_filter.default_model(spark)))}
+    blocked = np.mean([told[i] for i, (_, y) in enumerate(held) if y])
+    allowed = np.mean([not told[i] for i, (_, y) in enumerate(held) if not y])
+    print(f"another making: {blocked:.3f} blocked, {allowed:.3f} allowed")
+    assert blocked > 0.8 and allowed > 0.8
+
+
 def test_mixing_stage_keeps_texts_whole(spark):
     docs = spark.createDataFrame([(i, "line\n" * (i + 1), "en", f"s{i // 2:02}", 5 * i + 5) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
     own = {r["doc_id"]: r for r in rows(docs)}

@@ -50,7 +50,7 @@ URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, url_filter.UrlModel(spark))
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, url_filter.default_model(spark))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

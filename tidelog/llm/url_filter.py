@@ -5,6 +5,7 @@ DataFrame functions and Spark ML only.
 
 from __future__ import annotations
 
+import functools
 import random
 from collections.abc import Sequence
 
@@ -23,15 +24,15 @@ ORDINARY_WORDS = (
     "news", "daily", "garden", "school", "river", "museum", "library", "science", "weather", "travel", "cooking", "history", "music",
     "forum", "wiki", "docs", "journal", "city", "health", "sport", "photo", "books", "art", "tech", "green", "north", "house", "food",
 )
-#: Letter groups that made-up ordinary host names consist of.
-SYLLABLES = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "ma", "lo", "ki", "sa", "ble", "ing", "ion")
+#: The most frequent letter pairs of English text, which made-up ordinary host names consist of.
+PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le")
 #: Suffixes; both classes use each, so a suffix alone settles nothing, but blocked hosts have the last ones more often.
 SUFFIXES = ("com", "net", "org", "co.uk", "de", "fr", "es", "info", "xyz", "top")
 SUFFIX_ODDS = ((6, 4, 4, 2, 2, 2, 2, 1, 1, 1), (6, 4, 4, 1, 1, 1, 1, 3, 3, 3))
 
 
 def labelled_urls(n: int = 1_600, seed: int = 11, blocked_words: Sequence[str] = BLOCKED_WORDS) -> list[tuple[str, int]]:
-    """(url, 1 if it should be blocked) — made from the word lists above, the same each time.
+    """(url, 1 if it should be blocked) — made from the word lists above, the same each time, without a look at any table.
 
     The classes differ in lexical features, each of which the other class has
     too: blocked hosts have more hyphens and digits and other suffixes, and half
@@ -44,17 +45,16 @@ def labelled_urls(n: int = 1_600, seed: int = 11, blocked_words: Sequence[str] =
         kind = r.random()
         if bad:
             words = r.sample(blocked_words, r.choice((2, 2, 3)))
-            name = "-".join(words) if kind < 0.8 else words[0] + r.choice(("", "-")) + str(r.randint(1, 999)) if kind < 0.95 else "".join(words[:2])
+            name = "-".join(words) if kind < 0.75 else words[0] + r.choice(("", "-")) + str(r.randint(1, 999)) if kind < 0.93 else "".join(words[:2])
         else:
-            name = "".join(r.choices(SYLLABLES, k=r.randint(2, 5))) if kind < 0.7 else r.choice(("-", "", "")).join(r.sample(ORDINARY_WORDS, r.randint(1, 2)))
-        host = r.choice(("", "", "www.", "blog.", "m.", "shop.")) + name + r.choice(("", ".example", ".example", ".host")) + "." + r.choices(SUFFIXES, SUFFIX_ODDS[bad])[0]
+            name = "".join(r.choices(PAIRS, k=r.randint(2, 6))) if kind < 0.6 else r.choice(("-", "", "", "")).join(r.sample(ORDINARY_WORDS, r.randint(1, 2)))
+        host = r.choice(("", "", "www.", "en.", "my.", "static.", "m.")) + name + r.choice(("", "", "." + r.choice(ORDINARY_WORDS))) + "." + r.choices(SUFFIXES, SUFFIX_ODDS[bad])[0]
         loud = r.random() < (0.5 if bad else 0.08)
         depth = r.randint(3, 7) if loud and r.random() < 0.6 else r.randint(0, 4)
-        path = "".join("/" + (r.choice(("en", "de", "fr", "es")) if r.random() < 0.3 else str(r.randint(1, 9999)) if r.random() < 0.5 else r.choice(ORDINARY_WORDS)) for _ in range(depth)) + r.choice(("", "/", ".html"))
-        tail = r.choice(("", "", "?page=2&ref=x", "?utm_source=feed", "#top", "?id=7"))
-        if loud:
-            tail = "?" + "&".join(f"{r.choice(('aff', 'id', 'c', 'sub', 'src', 'go'))}={r.randint(1, 99_999)}" for _ in range(r.randint(2, 6)))
-        rows.append((f"{r.choice(('http', 'https'))}://{host}{path if depth else r.choice(('', '/'))}{tail}", bad))
+        path = "".join("/" + (r.choice(PAIRS) if r.random() < 0.3 else str(r.randint(1, 9999)) if r.random() < 0.5 else r.choice(ORDINARY_WORDS)) for _ in range(depth)) + r.choice(("", "/", ".html", ".php"))
+        given = r.randint(2, 6) if loud else r.choice((0, 0, 0, 1, 2))
+        tail = "&".join(f"{r.choice(('id', 'p', 'sort', 'lang', 'q', 'v', 'src', 'go'))}={r.choice((str(r.randint(1, 99_999)), r.choice(ORDINARY_WORDS)))}" for _ in range(given))
+        rows.append((f"{r.choice(('http', 'https'))}://{host}{path if depth else r.choice(('', '/'))}{'?' + tail if tail else ''}{r.choice(('', '', '', '#' + r.choice(ORDINARY_WORDS)))}", bad))
     return rows
 
 
@@ -86,10 +86,14 @@ def _count(text: Column, chars: str) -> Column:
 
 
 def lexical_features(df: DataFrame, url_col: str, suffix_rates: dict[str, float]) -> tuple[DataFrame, list[str]]:
-    """Add the numeric features (double, never null) of ``url_col``; returns their names too."""
+    """Add the numeric features (double, never null) of ``url_col``; returns their names too.
+
+    Counts and shares of characters of the URL, of its host and of the host
+    without its last label, and the share of blocked URLs by suffix.
+    """
     url = F.coalesce(F.col(url_col), F.lit(""))
     df = df.withColumn("_u", url).withColumn("_h", host_of(url)).withColumn("_p", path_of(url))
-    df = df.withColumn("_q", F.regexp_extract("_u", r"(?s)^[^?#]*\?([^#]*)", 1)).withColumn("_name", F.regexp_replace("_h", r"^(www|m|blog|shop)\.", ""))
+    df = df.withColumn("_q", F.regexp_extract("_u", r"(?s)^[^?#]*\?([^#]*)", 1)).withColumn("_name", F.regexp_replace("_h", r"\.[^.]*$", ""))
     u, h, p, q, name = (F.col(c) for c in ("_u", "_h", "_p", "_q", "_name"))
     n = F.greatest(F.length(name), F.lit(1))
     share = lambda c: (F.length(name) - F.length(F.replace(name, c, F.lit("")))) / n
@@ -129,9 +133,8 @@ class UrlModel:
         self.suffix_rates = {s: (sum(ys) + 2) / (len(ys) + 4) for s, ys in suffix.items()}
         data, self.names = lexical_features(rows, "url", self.suffix_rates)
         self.assembler = VectorAssembler(inputCols=self.names, outputCol="_features")
-        data = self.assembler.transform(data).select("_features", "y").coalesce(1).persist()
+        data = self.assembler.transform(data).select("_features", "y").coalesce(1)
         self.trees = GBTClassifier(featuresCol="_features", labelCol="y", maxIter=rounds, maxDepth=depth, seed=5, predictionCol="_blocked").setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(data)
-        data.unpersist()
 
     def judge(self, df: DataFrame, url_col: str) -> DataFrame:
         """Adds ``blocked`` (boolean), ``host`` and ``path``."""
@@ -140,6 +143,16 @@ class UrlModel:
         return out.withColumn("blocked", F.col("_blocked") >= 0.5).withColumnRenamed("_h", "host").withColumnRenamed("_p", "path").drop(*self.names, "_features", "_raw", "_probability", "_blocked")
 
 
+@functools.lru_cache(4)
+def _model_of(application: str) -> UrlModel:
+    return UrlModel(SparkSession.getActiveSession())
+
+
+def default_model(spark: SparkSession) -> UrlModel:
+    """The model of the made-up URLs, fitted once in an application."""
+    return _model_of(spark.sparkContext.applicationId)
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], model: UrlModel, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id_col``, host, path, rule (null if none fits), verdict ("allow" or "block": the rule's, else the trees').
 
