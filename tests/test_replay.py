@@ -117,3 +117,81 @@ def test_watermark(spark):
     assert got == {"x": 20, "y": 4}
     late = windows.contiguous_watermark(spans, ["k"], anchor=F.lit(2).cast("long"))
     assert {r["k"]: r["watermark"] for r in late.collect()} == {"x": 20, "y": 2}
+
+
+def test_merges_keep_the_first_arrival(spark):
+    chunk = events(spark, (150, 1, 1, "first"), (150, 1, 2, "second"), (150, 2, 1, "third"))
+    other = events(spark, (150, 1, 1, "duplicate"), (160, 1, 1, "new"), (160, 1, 1, "other new"), (400, 1, 1, "outside"))
+    merged, left = replay.chunk_merge(chunk, other.withColumn("arrival_seq", F.length("record")), 100, 200)
+    assert sorted(r["record"] for r in merged.collect()) == ["first", "new", "second", "third"]
+    assert [r["record"] for r in left.collect()] == ["outside"]
+    both = replay.merge(events(spark, (1, 1, 0, "z")), events(spark, (1, 1, 0, "a"), (2, 1, 0, "b")))
+    assert sorted(r["record"] for r in both.collect()) == ["b", "z"]
+
+
+def test_split_takes_zero_for_no_watermark_and_unconfirmed_first(spark):
+    one = replay.HotResponse(events(spark, (250, 1, 0, "confirmed")), events(spark, (250, 1, 0, "unconfirmed")), 120, 0)
+    s = replay.split_hot_range([one], 100, 300)
+    assert s.boundary == 120 and [r["record"] for r in s.hot.collect()] == ["unconfirmed"]
+
+
+def test_hot_range_answers_are_cut(spark):
+    held = events(spark, *[(t, 1, 0) for t in range(100, 110)]).withColumn("visible", F.col("event_time") % 2 == 0)
+    got = replay.fetch_hot_range(held, 100, 110, 104, 4)
+    assert times(got.confirmed) == [104] and times(got.unconfirmed) == [101, 103, 105] and got.truncated and got.hot_floor == 100
+    assert not replay.fetch_hot_range(held, 100, 110, 104, 8).truncated
+
+
+def test_copies_and_drains(spark):
+    log = events(spark, (5, 0, 0), (7, 0, 0), (7, 0, 1), (9, 0, 0))
+    assert times(replay.copy_series(log, 5, 7, 1, 100)) == [5, 7] and times(replay.copy_series(log, 5, 7, 1, 100, closing_key=False)) == [5]
+    assert times(replay.copy_series(log, 0, 7, 1, 100)) == [] and times(replay.copy_series(log, 1, 4, 4, 100)) == []
+    series, rest = replay.drain(log)
+    assert [r["event_time"] for r in series.collect()] == [5, 7, 7, 9] and rest.count() == 0
+
+
+def test_partial_results_are_asked_for_again(spark):
+    log, calls = events(spark, (1, 1, 0)), []
+
+    def read(full_at):
+        calls.append(1)
+        return replay.ReplayResult(log, len(calls) >= full_at)
+
+    assert replay.retried(lambda: read(3)).count() == 1 and len(calls) == 3
+    calls.clear()
+    with pytest.raises(PartialResult):
+        replay.retried(lambda: read(4))
+
+
+def test_tails_count_an_event_once(spark):
+    log = events(spark, (1, 1, 0), (2, 1, 0), (2, 1, 0), (3, 1, 0), (3, 1, 0))
+    assert times(tail.evict_to_capacity(log, 2)) == [2, 3] and times(tail.last_n(log, "c", "s", 3)) == [1, 2, 3]
+    assert times(tail.scattered_tail([log, None], 2)) == [2, 3]
+    from tidelog.errors import EventLogError
+
+    with pytest.raises(EventLogError):
+        tail.scattered_tail([None, None], 2)
+    with pytest.raises(PartialResult):
+        tail.complete_tail(log.limit(1), 2)
+
+
+def test_watermark_across_buckets(spark):
+    """Stretches of small buckets against a plain fold."""
+    import random
+
+    r, rows = random.Random(3), []
+    for key in range(30):
+        at = r.randrange(50)
+        for _ in range(r.randrange(1, 40)):
+            rows.append((key, at, at + r.choice((0, 1, 3, 9, 25))))
+            at += r.choice((0, 1, 2, 3, 12))
+    want = {}
+    for key, s, e in sorted(rows):
+        if e > s:
+            w = want.setdefault(key, s)
+            want[key] = max(w, e) if s <= w and not want.get((key, "gap")) else w
+            if s > w:
+                want[key, "gap"] = True
+    df = spark.createDataFrame(rows, "k long, start long, end long").repartition(3)
+    got = {x["k"]: x["watermark"] for x in windows.contiguous_watermark(df, ["k"], bucket=7).collect()}
+    assert got == {k: w for k, w in want.items() if isinstance(k, int)}

@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.errors import ChronicleExists, InvalidArgument, NotAcquired, NotExist
+from tidelog.errors import Acquired, ChronicleExists, DurabilityFull, DurabilityUnavailable, DurabilityUnknown, InvalidArgument, NotAcquired, NotExist
 from tidelog.functions import records, telemetry
 from tidelog.operators import kv, replay, tail
 from tidelog.operators.catalog import without_destroyed
-from tidelog.schema import EVENT_LOG, IDENTITY, KEY, SECOND, event_log, ntz_of_micros
+from tidelog.schema import EVENT_LOG, KEY, SECOND, event_log, ntz_of_micros
 from tidelog.sources.archive import read_archive, write_archive
+from tidelog.sources.sinks import csv_sink
 
-CATALOG = "story string, chronicle string, op string, at long"
+CATALOG = "story string, chronicle string, op string, client long, at long"
+#: The event index starts over behind this number.
+LAST_INDEX = 2**31 - 1
+
+
+@dataclass(frozen=True)
+class LogEventOptions:
+    """``durable``: stored before the call returns, tried ``attempts`` times of ``timeout_ms`` each."""
+
+    durable: bool = False
+    timeout_ms: int = 10_000
+    attempts: int = 3
 
 
 @dataclass
@@ -27,21 +40,40 @@ class StoryHandle:
     story: str
     held: list[tuple] = field(default_factory=list)
 
-    def log_event(self, record: str) -> int:
-        """Stamp and buffer one event; returns its time, or 0 for an empty record."""
+    def log_event(self, record: str, options: LogEventOptions | None = None) -> int:
+        """Stamp one event and return its time; buffered unless durable.  An empty record is passed over (0)."""
+        if options is not None and options.durable:
+            return self.log_event_durable(record, options)
         if not record:
             return 0
         key = self.store._stamp()
         self.held.append((self.chronicle, self.story, *key, record))
         return key[0]
 
-    def log_event_durable(self, record: str) -> int:
-        """The same, appended before this returns."""
-        if not record:
-            raise InvalidArgument("an event needs a record")
-        at = self.log_event(record)
-        self.flush()
-        return at
+    def log_event_durable(self, record: str, options: LogEventOptions | None = None) -> int:
+        """The same, appended before this returns.
+
+        An attempt that isn't answered (TimeoutError, OSError) may have stored
+        the event; it is repeated with the same identity, of which reads take one.
+        After that no refusal can say that nothing was stored, so it becomes
+        DurabilityUnknown, as when no attempt is answered.
+        """
+        options = options or LogEventOptions(durable=True)
+        if not record or options.attempts < 1 or options.timeout_ms < 1:
+            raise InvalidArgument("a durable event needs a record, attempts and a time limit")
+        key = self.store._stamp()
+        row, unanswered = (self.chronicle, self.story, *key, record), False
+        for _ in range(options.attempts):
+            try:
+                self.store.send([row], options.timeout_ms)
+                return key[0]
+            except (DurabilityUnavailable, DurabilityFull) as e:
+                if unanswered:
+                    raise DurabilityUnknown("an earlier attempt may have stored the event", key[0]) from e
+                raise
+            except (TimeoutError, OSError):
+                unanswered = True
+        raise DurabilityUnknown("no attempt was answered", key[0])
 
     def flush(self) -> None:
         rows, self.held = self.held, []
@@ -60,6 +92,8 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, client_id: int = 1):
         self.spark, self.path, self.client_id = spark, path.rstrip("/"), client_id
         self._index, self._last, self._handles = 0, 0, {}
+        #: Takes rows and a time limit; raises TimeoutError or OSError if it can't tell whether they were stored.
+        self.send: Callable[[list[tuple], int], None] = lambda rows, timeout_ms: self.append_rows(rows)
 
     # -- catalog
 
@@ -71,11 +105,11 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def _note(self, op: str, chronicle: str, story: str | None = None) -> None:
-        self.spark.createDataFrame([(story, chronicle, op, time.time_ns())], CATALOG).coalesce(1).write.mode("append").json(f"{self.path}/catalog")
+        self.spark.createDataFrame([(story, chronicle, op, self.client_id, time.time_ns())], CATALOG).coalesce(1).write.mode("append").json(f"{self.path}/catalog")
 
     def _alive(self) -> DataFrame:
         """chronicle, story (null: the chronicle itself) whose last operation made them."""
-        ops = self._operations()
+        ops = self._operations().filter("op in ('create', 'destroy')")
         gone = ops.filter("op = 'destroy' and story is null").groupBy("chronicle").agg(F.max("at").alias("gone"))
         last = ops.groupBy("chronicle", "story").agg(F.max_by("op", "at").alias("op"), F.max("at").alias("at"))
         return last.join(gone, "chronicle", "left").filter("op = 'create' and (gone is null or at > gone)").select("chronicle", "story")
@@ -101,6 +135,7 @@ class Store:
         if (chronicle, story) not in self._handles:
             if story not in self.show_stories(chronicle):
                 self._note("create", chronicle, story)
+            self._note("acquire", chronicle, story)
             self._handles[chronicle, story] = StoryHandle(self, chronicle, story)
         return self._handles[chronicle, story]
 
@@ -109,15 +144,29 @@ class Store:
         if handle is None:
             raise NotAcquired(f"{chronicle}/{story}")
         handle.flush()
+        self._note("release", chronicle, story)
+
+    def holders(self, chronicle: str, story: str) -> list[int]:
+        """Clients that hold a story."""
+        ops = self._operations().filter((F.col("chronicle") == chronicle) & (F.col("story") == story) & F.col("op").isin("acquire", "release", "destroy"))
+        gone = ops.filter("op = 'destroy'").agg(F.max("at")).head()[0] or 0
+        last = ops.filter((F.col("at") > gone) & (F.col("op") != "destroy")).groupBy("client").agg(F.max_by("op", "at").alias("op"))
+        return sorted(r["client"] for r in last.filter("op = 'acquire'").collect())
 
     def destroy_story(self, chronicle: str, story: str) -> None:
         if story not in self.show_stories(chronicle):
             raise NotExist(f"{chronicle}/{story}")
+        if set(self.holders(chronicle, story)) - {self.client_id}:
+            raise Acquired(f"{chronicle}/{story} is held by another client")
         self._handles.pop((chronicle, story), None)
         self._note("destroy", chronicle, story)
 
     def destroy_chronicle(self, chronicle: str) -> None:
-        for story in self.show_stories(chronicle):
+        stories = self.show_stories(chronicle)
+        for story in stories:
+            if set(self.holders(chronicle, story)) - {self.client_id}:
+                raise Acquired(f"{chronicle}/{story} is held by another client")
+        for story in stories:
             self.destroy_story(chronicle, story)
         self._note("destroy", chronicle)
 
@@ -129,7 +178,7 @@ class Store:
 
     def _stamp(self) -> tuple[int, int, int]:
         self._last = max(time.time_ns(), self._last + 1)
-        self._index += 1
+        self._index = self._index + 1 if self._index < LAST_INDEX else 0
         return self._last, self.client_id, self._index
 
     def append_rows(self, rows: list[tuple]) -> None:
@@ -153,11 +202,26 @@ class Store:
         gone = self._operations().filter("op = 'destroy' and story is not null").select("chronicle", "story", F.col("at").alias("destroyed_at"))
         return without_destroyed(rows, gone)
 
+    def read(self, chronicle: str, story: str, start: int | None = None, end: int | None = None) -> replay.ReplayResult:
+        """A range and whether all of it could be read; a store over several sources overrides this."""
+        return replay.ReplayResult(replay.replay(self.log(start, end), chronicle, story, start, end))
+
     def replay(self, chronicle: str, story: str, start: int | None = None, end: int | None = None) -> DataFrame:
+        """A complete range: an incomplete one is asked for twice more and refused then."""
         handle = self._handles.get((chronicle, story))
         if handle is not None:
             handle.flush()
-        return replay.replay(self.log(start, end), chronicle, story, start, end)
+        return replay.retried(lambda: self.read(chronicle, story, start, end))
+
+    def flush(self) -> None:
+        """Append what all handles hold, so that reads see it."""
+        for handle in self._handles.values():
+            handle.flush()
+
+    def export_recent(self, chronicle: str, story: str, seconds: int, path: str, now_ns: int | None = None) -> None:
+        """Events of the last ``seconds`` as CSV."""
+        now_ns = now_ns or time.time_ns()
+        csv_sink(path)(self.replay(chronicle, story, max(now_ns - seconds * SECOND, 1), now_ns))
 
     # -- versioned values
 
@@ -167,9 +231,9 @@ class Store:
         return self.append(kv.CHRONICLE, key, value)
 
     def values(self) -> DataFrame:
-        return kv.versions(self.log().filter(F.col("chronicle") == kv.CHRONICLE).dropDuplicates(IDENTITY))
+        return kv.versions(self.log().filter(F.col("chronicle") == kv.CHRONICLE).transform(replay.deduplicated))
 
-    def publish(self, topic: str, payload: str, chronicle: str = "ChronoPubSubChronicle") -> int:
+    def publish(self, topic: str, payload: str, chronicle: str = "topics") -> int:
         """Append a message; 0 for an empty topic or payload."""
         return self.append(chronicle, topic, payload) if topic and payload else 0
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.errors import InvalidArgument
 from tidelog.schema import KEY
 
-CHRONICLE = "ChronoKVSChronicle"
+CHRONICLE = "values"
 
 
 def versions(log: DataFrame, value: Column | None = None) -> DataFrame:

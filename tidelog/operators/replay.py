@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,9 +48,20 @@ def story_range(log: DataFrame, chronicle: str, story: str, start: int | None =
     return log.filter((F.col("chronicle") == chronicle) & (F.col("story") == story) & in_range(start, end, "event_ts" in log.columns))
 
 
-def deduplicated(log: DataFrame) -> DataFrame:
-    """One row for each identity; which one doesn't matter to callers whose copies are equal."""
-    return log.dropDuplicates(IDENTITY)
+ARRIVAL = "arrival_seq"
+
+
+def deduplicated(log: DataFrame, *order: str) -> DataFrame:
+    """One row for each identity: the first arrival.
+
+    ``order`` names the columns that tell which came first; without, it is
+    ``arrival_seq`` where the log has it.  Rows that are equal in these, too, go
+    by their other columns, so that the choice doesn't change between runs.
+    """
+    order = order or tuple(c for c in (ARRIVAL,) if c in log.columns)
+    rest = [c for c in log.columns if c not in IDENTITY]
+    by = [*order, *[c for c in rest if c not in order]]
+    return log.groupBy(*IDENTITY).agg(F.min(F.struct(*by)).alias("_first")).select(*[F.col(c) if c in IDENTITY else F.col("_first")[c].alias(c) for c in log.columns])
 
 
 def replay(log: DataFrame, chronicle: str, story: str, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -75,17 +86,17 @@ def replay_each(log: DataFrame, chronicle: str, story: str, start: int | None, e
 
 
 def merge(*tiers: DataFrame) -> DataFrame:
-    """Events of several tiers, each identity once."""
-    out = tiers[0]
-    for t in tiers[1:]:
-        out = out.unionByName(t)
-    return deduplicated(out)
+    """Events of several tiers, each identity once: of the first tier that has it, and its first arrival there."""
+    out = None
+    for k, t in enumerate(tiers):
+        t = t.withColumn("_tier", F.lit(k))
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    return deduplicated(out, "_tier", *[c for c in (ARRIVAL,) if c in out.columns]).drop("_tier")
 
 
-def first_arrival(log: DataFrame, arrival: str = "arrival_seq") -> DataFrame:
+def first_arrival(log: DataFrame, arrival: str = ARRIVAL) -> DataFrame:
     """Of each identity the row that arrived first; ``arrival`` orders arrivals."""
-    w = Window.partitionBy(*IDENTITY).orderBy(arrival)
-    return log.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return deduplicated(log, arrival)
 
 
 def ingestible(log: DataFrame, story: str, start: int, end: int) -> DataFrame:
@@ -94,10 +105,33 @@ def ingestible(log: DataFrame, story: str, start: int, end: int) -> DataFrame:
 
 
 def chunk_merge(chunk: DataFrame, other: DataFrame, start: int, end: int) -> tuple[DataFrame, DataFrame]:
-    """(chunk with the other's events of its window added, first arrivals kept; the other's events left over)."""
+    """(chunk with the other's events of its window added, the other's events left over).
+
+    Of each identity the first arrival stays: the chunk's own before the
+    other's, and of several rows of one side the first.
+    """
     inside = in_range(start, end, "event_ts" in other.columns)
-    added = other.filter(inside).join(chunk.select(*IDENTITY), IDENTITY, "left_anti")
-    return chunk.unionByName(added), other.filter(~inside)
+    return merge(chunk, other.filter(inside)), other.filter(~inside)
+
+
+def copy_series(log: DataFrame, start: int, end: int, chunk_start: int, chunk_end: int, closing_key: bool = True) -> DataFrame:
+    """A chunk's events of ``[start, end)`` within its own bounds, in order of the key; the chunk keeps them.
+
+    ``closing_key``: the event of the first key at the upper bound, (end, 0, 0),
+    comes too, as in :func:`erase`.  A start of 0 and ranges before the chunk give none.
+    """
+    if start == 0 or end <= chunk_start:
+        return log.limit(0)
+    lo, hi = max(start, chunk_start), min(end, chunk_end)
+    keep = (F.col("event_time") >= lo) & (F.col("event_time") < hi)
+    if closing_key:
+        keep = keep | ((F.col("event_time") == hi) & (F.col("client_id") == 0) & (F.col("event_index") == 0))
+    return log.filter(keep).orderBy(*KEY)
+
+
+def drain(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all events in order of the key, the chunk emptied)."""
+    return log.orderBy(*KEY), log.limit(0)
 
 
 def erase(log: DataFrame, start: int, end: int, closing_key: bool = True) -> DataFrame:
@@ -114,7 +148,7 @@ def erase(log: DataFrame, start: int, end: int, closing_key: bool = True) -> Dat
 
 @dataclass
 class HotResponse:
-    """What one recorder holds of a range in memory."""
+    """What one recorder holds of a range in memory.  A watermark of 0 is none."""
 
     confirmed: DataFrame
     unconfirmed: DataFrame | None = None
@@ -136,12 +170,14 @@ def split_hot_range(responses: Sequence[HotResponse], start: int, end: int) -> H
     The boundary is the highest persisted watermark that any recorder knows or,
     if none knows one, the lowest floor of what they hold, at most ``end``.
     Unconfirmed events are hot wherever they lie; confirmed ones from the
-    boundary on.  The hot part alone is complete if it begins at ``start``.
+    boundary on; of one identity the unconfirmed copy comes first, then that of
+    the recorder that answered first.  The hot part alone is complete if it
+    begins at ``start``.
     """
-    known = [r.known_w for r in responses if r.known_w is not None]
+    known = [r.known_w for r in responses if r.known_w]
     floors = [r.hot_floor for r in responses if r.hot_floor is not None]
     boundary = min(max(known) if known else min(floors, default=end), end)
-    parts = [r.confirmed.filter(F.col("event_time") >= boundary) for r in responses] + [r.unconfirmed for r in responses if r.unconfirmed is not None]
+    parts = [p for r in responses for p in (r.unconfirmed, r.confirmed.filter(F.col("event_time") >= boundary)) if p is not None]
     hot = merge(*parts).filter((F.col("event_time") >= start) & (F.col("event_time") < end)) if parts else None
     return HotSplit(boundary, hot, bool(responses) and boundary <= start)
 
@@ -161,15 +197,42 @@ def plan_replay(split: HotSplit, start: int, end: int, missing: int = 0, truncat
 
 
 def planned_replay(archive: DataFrame, responses: Sequence[HotResponse], start: int, end: int, missing: int = 0) -> ReplayResult:
-    """Archive below the boundary and the hot part from there, merged and ordered."""
+    """Archive below the boundary and the hot part from there, merged and ordered; of an event in both the archive's copy."""
     split = split_hot_range(responses, start, end)
     plan = plan_replay(split, start, end, missing, any(r.truncated for r in responses))
-    parts = [split.hot] if split.hot is not None else []
-    if plan.read_archive:
-        parts.append(archive.filter(in_range(start, plan.archive_end, "event_ts" in archive.columns)))
+    parts = [archive.filter(in_range(start, plan.archive_end, "event_ts" in archive.columns))] if plan.read_archive else []
+    if split.hot is not None:
+        parts.append(split.hot)
     return ReplayResult(merge(*parts).orderBy(*KEY) if parts else archive.limit(0), plan.complete)
 
 
+def fetch_hot_range(chunks: DataFrame, start: int, end: int, known_w: int, max_events: int = 262_144) -> HotResponse:
+    """What a recorder answers for a range.
+
+    ``chunks``: the events it holds, with ``visible`` telling whether the
+    event's chunk can be read in the archive.  An event is confirmed if any of
+    its copies is visible; confirmed ones below the watermark are left to the
+    archive.  At most ``max_events`` are sent, the oldest, and ``truncated`` says
+    whether there were more.  ``hot_floor`` is the oldest event of any chunk.
+    """
+    rows = chunks.filter(in_range(start, end, "event_ts" in chunks.columns))
+    visible = rows.groupBy(*IDENTITY).agg(F.max("visible").alias("visible"))
+    rows = deduplicated(rows.drop("visible")).join(visible, IDENTITY).filter(~F.col("visible") | (F.col("event_time") >= known_w))
+    served = rows.orderBy(*KEY).limit(max_events + 1)
+    floor, n = chunks.agg(F.min("event_time")).head()[0], served.count()
+    sent = rows.orderBy(*KEY).limit(max_events)
+    return HotResponse(sent.filter("visible").drop("visible"), sent.filter("not visible").drop("visible"), floor, known_w, n > max_events)
+
+
+def retried(read: Callable[[], ReplayResult], retries: int = 2) -> DataFrame:
+    """A result that is complete: an incomplete one is asked for again ``retries`` times and refused then."""
+    for _ in range(retries):
+        found = read()
+        if found.complete:
+            return found.events
+    return read().require()
+
+
 def hot_fetch(log: DataFrame, start: int, end: int, watermark: int | None, max_events: int) -> tuple[DataFrame, bool]:
     """Held events of a range from the watermark on, at most ``max_events``, and whether there were more."""
     low = start if watermark is None else max(start, watermark)
@@ -178,9 +241,10 @@ def hot_fetch(log: DataFrame, start: int, end: int, watermark: int | None, max_e
     return rows.limit(max_events), truncated
 
 
-def scalar_split(hot: DataFrame, archive: DataFrame, watermarks: DataFrame, start: int, end: int) -> DataFrame:
-    """The same split with watermarks (known_w) in a table: one row is aggregated and broadcast."""
-    bound = watermarks.agg(F.least(F.max("known_w"), F.lit(end)).alias("b"))
+def scalar_split(hot: DataFrame, archive: DataFrame, recorders: DataFrame, start: int, end: int) -> DataFrame:
+    """The same split with recorders' known_w (0 or null: none) and hot_floor in a table: one row is aggregated and broadcast."""
+    known, floor = F.max(F.nullif("known_w", F.lit(0))), F.min("hot_floor")
+    bound = recorders.agg(F.least(F.coalesce(known, floor, F.lit(end)), F.lit(end)).alias("b"))
     low = archive.filter(in_range(start, end)).join(F.broadcast(bound), F.col("event_time") < F.col("b")).drop("b")
     high = hot.filter(in_range(start, end)).join(F.broadcast(bound), F.col("event_time") >= F.col("b")).drop("b")
     return merge(low, high)

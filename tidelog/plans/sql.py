@@ -11,13 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.errors import InvalidArgument
+from tidelog.errors import InvalidArgument, QueryTimedOut
 from tidelog.operators.catalog import fold_tables
 from tidelog.plans.statements import Between, Create, Drop, Equals, Insert, Select, parse
 from tidelog.schema import KEY
 
-CHRONICLE = "ChronoSQLChronicle"
-METADATA = "__chronosql_metadata"
+CHRONICLE = "tables"
+METADATA = "__metadata"
 
 
 def member(column: str, record: str = "record") -> Column:
@@ -64,7 +64,10 @@ class SqlTables:
         self.store, self.chronicle = store, chronicle
 
     def _catalog(self) -> DataFrame:
-        ops = self.store.replay(self.chronicle, METADATA)
+        try:
+            ops = self.store.replay(self.chronicle, METADATA)
+        except QueryTimedOut:  # a cold store has no tables yet
+            ops = self.store.log().limit(0)
         return fold_tables(ops.select(F.struct(*KEY).alias("seq"), "record"))
 
     def tables(self) -> list[str]:
@@ -74,6 +77,10 @@ class SqlTables:
         found = self._catalog().filter(F.col("name") == table).select("columns").head()
         return None if found is None else [(c["name"], c["type"]) for c in found["columns"] or []]
 
+    def flush(self) -> None:
+        """Make what was inserted through handles visible to reads."""
+        self.store.flush()
+
     def _need(self, table: str) -> list[tuple[str, str]]:
         columns = self.schema(table)
         if columns is None:

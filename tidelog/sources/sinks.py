@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.errors import InvalidArgument
 from tidelog.functions.records import csv_time, event_line
 from tidelog.functions.telemetry import line_protocol, points
 from tidelog.schema import KEY
@@ -45,11 +46,16 @@ def records_sink(path: str) -> Sink:
     return write
 
 
+def chunk_summaries(events: DataFrame) -> DataFrame:
+    """chronicle, story, lo, hi, n: span and count of each story's events."""
+    return events.groupBy("chronicle", "story").agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi"), F.count("*").alias("n"))
+
+
 def logging_sink(level: int = logging.INFO) -> Sink:
     """Story, span and count of each chunk to the log; a row for each story reaches the driver."""
 
     def write(events: DataFrame) -> None:
-        for r in events.groupBy("chronicle", "story").agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi"), F.count("*").alias("n")).toLocalIterator():
+        for r in chunk_summaries(events).toLocalIterator():
             log.log(level, "%s/%s: %d events in [%d, %d]", r["chronicle"], r["story"], r["n"], r["lo"], r["hi"])
 
     return write
@@ -91,3 +97,20 @@ def chain(sinks: Sequence[Sink]) -> Sink:
             events.unpersist()
 
     return write
+
+
+def configured(kinds: Sequence[dict]) -> Sink:
+    """The chain that a configuration names: ``[{"type": "csv", "path": ...}, {"type": "logging"}]``.
+
+    Types: text, csv, records (with ``path``), logging, line_protocol (with ``post``), archive (with ``path``).
+    """
+    from tidelog.sources.archive import write_archive
+
+    makers: dict[str, Callable[..., Sink]] = {
+        "text": text_sink, "csv": csv_sink, "records": records_sink, "logging": logging_sink, "line_protocol": line_protocol_sink,
+        "archive": lambda path: lambda events: write_archive(events, path),
+    }
+    for k in kinds:
+        if k.get("type") not in makers:
+            raise InvalidArgument(f"no such sink: {k.get('type')}")
+    return chain([makers[k["type"]](**{a: v for a, v in k.items() if a != "type"}) for k in kinds])
