@@ -184,9 +184,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     carry = _carried(asked, F.max(start), "carry")
     inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     asked = asked.join(F.broadcast(carry), "part", "left").select("p", "len", F.coalesce(F.last(start, ignorenulls=True).over(inside), F.col("carry")).alias("interval"))
-    # one row for each interval and task before the shuffle, however often a run is repeated
+    # one row for each interval and task before the shuffle, however often a run is repeated; written, so that a hot interval can be split in the join
     first = asked.groupBy("len", "interval").agg(F.min("p").alias("first"), F.max("p").alias("last")).filter("last >= first + len").select("len", "interval", "first")
-    later = asked.join(first, ["len", "interval"]).filter("p >= first + len").select("p", "len").distinct()
+    later = asked.join(materialize(first, "first-copies"), ["len", "interval"]).filter("p >= first + len").select("p", "len").distinct()
     return runs.join(later, ["p", "len"]).select("doc_id", "tx", "first_line", "last_line")
 
 
