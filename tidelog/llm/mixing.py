@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,9 +29,11 @@ NO_WORD = r"[\x20\x09-\x0D]+"
 
 def word_count(text: Column) -> Column:
     """Words of a text; null counts as empty."""
-    # what stands between words is taken away but for one space, so words are one more than spaces left
-    squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), NO_WORD, " "))
-    return F.when(F.length(squeezed) == 0, F.lit(0)).otherwise(F.length(squeezed) - F.length(F.translate(squeezed, " ", "")) + 1).cast("long")
+    # what stands between words is made one space, so words are one more than spaces left; the pattern runs only where two stand together
+    spaced = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\x0b\x0c\r", F.coalesce(text, F.lit("")))
+    squeezed = F.trim(F.when(spaced.contains("  "), F.regexp_replace(spaced, " +", " ")).otherwise(spaced))
+    spaces = F.octet_length(squeezed) - F.octet_length(F.replace(squeezed, F.lit(" "), F.lit("")))
+    return F.when(F.octet_length(squeezed) == 0, F.lit(0)).otherwise(spaces + 1).cast("long")
 
 
 def cyclic_weights(sources: DataFrame, weights: Sequence[float] = (1, 2, 3)) -> DataFrame:
