@@ -2,26 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.conf.get("spark.tidelog.shared.dir", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.tidelog.shared.dir", own)
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
+from tidelog.sources.workspace import delete, new_path, shared_dir
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -33,15 +16,13 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`materialize`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = f"{shared_dir(spark)}/tidelog/"
-    folders = {root + f.split("/tidelog/", 1)[1].split("/", 1)[0] for f in df.inputFiles() if "/tidelog/" in f}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        root = shared_dir(df.sparkSession) + "/"
+        mark = root.split("://", 1)[-1].split("/", 1)[-1]  # the store may name its files another way than the folder
+        for folder in {f.split(mark, 1)[1].split("/", 1)[0] for f in df.inputFiles() if mark in f}:
+            delete(df.sparkSession, root + folder)
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -50,6 +31,5 @@ def n_partitions(spark: SparkSession) -> int:
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete all tables that this module wrote to the shared folder; results that read them must be written by then."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidelog")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all tables that this application wrote to the shared folder; results that read them must be written by then."""
+    delete(spark, shared_dir(spark))
