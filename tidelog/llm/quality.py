@@ -17,11 +17,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of the training sample: labelled texts of each class (the larger class may have more for calibration), and the bytes of one.
 SAMPLE_BAD, SAMPLE_GOOD, SAMPLE_TEXT_BYTES = 2_500, 5_000, 1 << 16
+#: Bytes of the sample's texts together.
+SAMPLE_BYTES = 96 << 20
 #: Texts of each class for its dictionary, at most, and as a share of the class where it is small.
 DICT_TEXTS, DICT_SHARE = 1_500, 0.6
 DICT_BYTES, LEVEL = 112 << 10, 6
@@ -112,8 +114,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     The sample is drawn from the labels alone (a hash of the id orders them), so
     at most SAMPLE_BAD + SAMPLE_GOOD ids are sent to the executors and as many
-    texts, each of SAMPLE_TEXT_BYTES at most, to the driver.  Null labels,
-    labels other than 0 and 1 and labels without a document are left out.
+    texts, each of SAMPLE_TEXT_BYTES and all of SAMPLE_BYTES at most, to the
+    driver.  Of rows that share an id one is taken, the least text.  Null
+    labels, labels other than 0 and 1 and labels without a document are left
+    out; without any label every score is 0.5.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(~in_held_out("id"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -128,8 +132,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
             .filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
             .join(F.broadcast(ids), "id")
-            .select("id", "label", "text")
+            .groupBy("id", "label")
+            .agg(F.min("text").alias("text"))
         )
+        # rows for SAMPLE_BAD + SAMPLE_GOOD ids at most
+        upto = F.sum(F.octet_length("text")).over(Window.orderBy(order, "id", "label").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("id", "label", "text")
         for _, label, text in sorted(map(tuple, rows.collect())):
             texts[label].append(text)
         shuffle = np.random.default_rng(7)
