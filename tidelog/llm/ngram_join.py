@@ -32,7 +32,6 @@ compared, but not two of one and the same component.
 """
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import connected_components
@@ -192,7 +191,7 @@ def _node(h: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, width: int, sim: Similarity, seed: int) -> DataFrame:
-    """doc_id, n, node, check, outline: the size of each document's set, two hashes and the outline of it."""
+    """doc_id, t (the text's hash), n, node, check, outline: the size of each document's set, two hashes and the outline of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,9 +203,11 @@ def _sets(docs: DataFrame, width: int, sim: Similarity, seed: int) -> DataFrame:
                 node.append(x)
                 check.append(y)
                 lines.append(outline(h, sim))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in (n, node, check)), pa.array(lines, pa.binary())], names=["doc_id", "n", "node", "check", "outline"])
+            made = [*(pa.array(v, pa.int64()) for v in (n, node, check)), pa.array(lines, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], names=["doc_id", "tx", "ty", "n", "node", "check", "outline"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, outline binary")
+    out = docs.select("doc_id", "text", "t.tx", "t.ty").mapInArrow(run, "doc_id long, tx long, ty long, n long, node long, check long, outline binary")
+    return out.select("doc_id", F.struct("tx", "ty").alias("t"), "n", "node", "check", "outline")
 
 
 def _keyed(docs: DataFrame, width: int, sim: Similarity, seed: int) -> DataFrame:
@@ -237,7 +238,7 @@ def _keyed(docs: DataFrame, width: int, sim: Similarity, seed: int) -> DataFrame
             if keys:
                 yield _batch(keys, nodes, schema)
 
-    return docs.mapInArrow(run, "key long, node long, marks long")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, node long, marks long")
 
 
 def _batch(keys: list[np.ndarray], nodes: list[tuple[int, int, int]], schema: pa.Schema) -> pa.RecordBatch:
@@ -247,14 +248,16 @@ def _batch(keys: list[np.ndarray], nodes: list[tuple[int, int, int]], schema: pa
 
 
 def _packed_texts(docs: DataFrame) -> DataFrame:
+    """t, z: texts' hashes and the texts, compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 b = batch.slice(lo, 1000)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)], pa.binary())], names=["doc_id", "z"])
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([press((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(0)], pa.binary())], names=["tx", "ty", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, z binary")
+    return docs.select("text", "t.tx", "t.ty").mapInArrow(run, "tx long, ty long, z binary").select(F.struct("tx", "ty").alias("t"), "z")
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
@@ -413,22 +416,16 @@ def _block_pairs(members: DataFrame, nodes: DataFrame, sim: Similarity) -> DataF
 
 
 def _texts_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """node, z: the packed text of one document of each node of the pairs."""
+    """node, z: a packed text of each node of the pairs, found by the text's hash (128 bits) and not by an id."""
     met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(met.join(nodes, "node").select(F.col("rep").alias("doc_id"), "node"), "wanted")
+    wanted = materialize(met.join(nodes, "node").select("t", "node"), "wanted")
     if wanted.count() <= BROADCAST_IDS:
-        found = _packed_texts(rows.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(wanted), "doc_id")
+        found = _packed_texts(rows.join(F.broadcast(wanted.select("t")), "t", "left_semi")).join(F.broadcast(wanted), "t")
     else:
-        found = wanted.join(_packed_texts(rows), "doc_id")
+        found = wanted.join(_packed_texts(rows), "t")
     return materialize(found.dropDuplicates(["node"]).select("node", "z"), "texts")
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _several(groups: DataFrame, value: str) -> DataFrame:
     """Rows of the keys under which more than one ``value`` stands."""
     key = Window.partitionBy("key")
@@ -465,20 +462,21 @@ def ngram_components(docs: DataFrame, width: int = 5, sim: Similarity | None = N
 
     One row for each input row; other columns are not read.  Null and empty
     texts have an empty set and are linked with nothing.  Rows of equal sets are
-    linked with each other.  Very long texts are taken whole.  Defaults: five
-    words, a similarity of 0.8 or more.
+    linked with each other.  Rows that share an id are compared by their own
+    texts; a component without any id has a null one.  Very long texts are taken
+    whole; an empty table gives none.  Defaults: five words, a similarity of 0.8
+    or more.
     """
     sim = sim or Similarity(80, 100)
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(F.xxhash64(text).alias("tx"), F.xxhash64(F.lit("t"), text).alias("ty")).alias("t"))
     for seed in range(1, 100):
         sets = materialize(_sets(rows, width, sim, seed), "sets")
-        one = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("outline").alias("outline"), F.min("check").alias("x"), F.max("check").alias("y"))
+        one = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.first("n").alias("n"), F.first("outline").alias("outline"), F.min("check").alias("x"), F.max("check").alias("y"))
         nodes = materialize(one, "nodes")
         if nodes.filter("x != y").isEmpty():  # no two sets share a node
             break
     groups = _candidate_groups(rows, width, sim, seed)
-    _release(spark)
     # keys of a few sets: pairs that come up often; keys of many: the pivot meets all others
     pivot = F.min("node").over(Window.partitionBy("key"))
     star = groups.filter(F.col("members") > FEW).select("key", "node", "band", pivot.alias("a")).filter("a != node")
@@ -488,7 +486,6 @@ def ngram_components(docs: DataFrame, width: int = 5, sim: Similarity | None = N
     components = connected_components(links)
     left = star.drop("a").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
     left = materialize(_several(left, "root").withColumn("members", F.count("*").over(Window.partitionBy("key"))), "left")
-    _release(spark)
     if not left.isEmpty():
         few = left.filter(F.col("members") <= GROUP).select("key", "node", "root")
         many = left.filter(F.col("members") > GROUP).select("band", "node", "root")
