@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import unicodedata
 import zlib
 
 import numpy as np
@@ -59,7 +60,11 @@ def test_op9(spark, documents):
     got = {r["doc_id"]: r for r in rows(q.op9_fingerprints(spark, SF))}
     order = sorted(documents)
     assert sorted(got) == order
-    by_text, form = {}, lambda s: " ".join(s.casefold().split())
+    nfkc = lambda s: unicodedata.normalize("NFKC", s)
+    by_text, form = {}, lambda s: " ".join(nfkc(nfkc(s).casefold()).split())
+    first = {}
+    for k in order:
+        first.setdefault(form(documents[k]["text"] or ""), k)
     for k, after in zip(order, order[1:] + order[:1], strict=True):
         text, other = documents[k]["text"] or "", documents[after]["text"] or ""
         n = len(text)
@@ -68,7 +73,7 @@ def test_op9(spark, documents):
         assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
         assert (r["near_edited"], r["near_next"]) == (float(form(text) == form(edited)), float(form(text) == form(other)))
         assert by_text.setdefault(text, r["fingerprint"]) == r["fingerprint"]
-        assert (r["fingerprint"] == r["edited_fingerprint"]) == (r["near_edited"] == 1.0)
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == (r["near_edited"] == 1.0) and r["group_id"] == first[form(text)]
 
 
 def test_op10(spark):

@@ -339,6 +339,19 @@ def test_fingerprint_collisions_are_told_apart(spark, monkeypatch):
     assert fingerprint.likeness(b"a", b"b") == 0.0 and fingerprint.likeness(b"a", b"a") == 1.0
     monkeypatch.setattr(fingerprint, "digest", lambda form: "same")
     assert fingerprint.likeness(b"a", b"b") == 0.0
+    found = spark.createDataFrame([("same", b"a", 1, 2), ("same", b"b", 2, 2), ("other", None, 3, 1)], "fingerprint string, z binary, group_id long, forms long")
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=fingerprint.LEVEL).compress
+    found = found.withColumn("z", F.when(F.col("group_id") == 1, F.lit(press(b"a"))).when(F.col("group_id") == 2, F.lit(press(b"b"))))
+    docs = spark.createDataFrame([(1, "same", "A"), (2, "same", "b "), (3, "other", "c"), (4, "same", " a")], "doc_id long, fingerprint string, text string")
+    assert {r["doc_id"]: r["group_id"] for r in rows(fingerprint.with_groups(docs, found, "text"))} == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_groups_of_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "A b"), (5, "a  B"), (None, "only"), (7, None), (6, " ")], "doc_id long, text string")
+    got = {(r["doc_id"], r["group_id"]) for r in rows(fingerprint.exact_groups(docs))}
+    assert got == {(None, 5), (5, 5), (None, None), (7, 6), (6, 6)}
 
 
 def test_quality(spark, odd, none):

@@ -1,5 +1,7 @@
 """Operators do the whole of their job where a cut would pass the contracts."""
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -104,3 +106,38 @@ def test_rows_without_an_id_stay(spark):
     for s in ("a", "b", None):
         assert sum(len(r["text"].split()) for r in mixed if r["source"] == s) == sum(r["taken"] for r in plan if r["source"] == s)
     assert sum(r["doc_id"] is None for r in mixed) >= 2
+
+
+def test_near_copies_go_by_their_own_text_where_ids_repeat(spark):
+    """Rows that share an id, or have none, are compared by their texts."""
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows_ = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (None, a + " more"), (None, "c " * 40)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(ngram_join.ngram_components(df))]
+    assert sorted(got, key=repr) == sorted([(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (None, 57, 1), (None, 1, None)], key=repr)
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """An id that stands before thousands of rows sends one text; texts together stay within their bound."""
+    from tidelog.llm import quality
+
+    docs = spark.range(20_000).selectExpr("1 + id % 2 as doc_id", "concat('text ', id) as text").unionByName(spark.createDataFrame([(i, "x" * 100) for i in range(3, 40)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_quality", lambda bad, good, prior: seen.append(bad + good))
+    quality.train_quality(docs, labels)
+    assert len(seen[0]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 40))
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 500)
+    quality.train_quality(docs, labels)
+    assert 0 < sum(len(t) for t in seen[1]) <= 500
+
+
+def test_line_dedup_reads_rows_of_one_id_as_documents(spark):
+    run = "\n".join(" ".join(f"w{k}_{j}" for j in range(20)) for k in range(4))
+    df = spark.createDataFrame([(1, f"one\n{run}"), (1, f"two\n{run}"), (1, f"two\n{run}"), (None, run), (2, f"{run}\nend")], "doc_id long, text string")
+    from tidelog.llm import line_dedup
+
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in rows(line_dedup.dedup_lines(df)))
+    assert got[0] == (0, run) and got[-1] == (2, "end")
+    kept = [t for i, t in got if i == 1]
+    assert sorted(kept) in ([f"one\n{run}", "two", "two"], ["one", f"two\n{run}", f"two\n{run}"])

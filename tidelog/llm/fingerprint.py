@@ -11,14 +11,20 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.store import materialize, n_partitions
 
 
+#: Compression of texts and forms that are shuffled.
+LEVEL = 1
+
+
 def canonical(text: str | None) -> bytes:
     text = text or ""
     if text.isascii():
@@ -36,8 +42,8 @@ def likeness(a: bytes, b: bytes) -> float:
     return 1.0 if len(a) == len(b) and digest(a) == digest(b) and a == b else 0.0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, fingerprint (string, 32 hex digits), canonical_bytes (long).
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``id_col``, fingerprint (string, 32 hex digits), canonical_bytes (long), and the text if it is to be kept.
 
     One row for each input row; null text counts as empty; other columns are not read.
     """
@@ -47,43 +53,76 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             forms = [canonical(x.as_py()) for x in batch.column(1)]
             new = pa.RecordBatch.from_arrays([pa.array([digest(f) for f in forms], pa.string()), pa.array([len(f) for f in forms], pa.int64())], schema=schema)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *new.columns], names=["id", *new.schema.names])
+            own = [batch.column(1)] if keep_text else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new.columns, *own], names=["id", *new.schema.names, *["text"][: len(own)]])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fingerprint string, canonical_bytes long")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fingerprint string, canonical_bytes long{', text string' if keep_text else ''}")
     return out.withColumnRenamed("id", id_col)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, fingerprint, group_id: the smallest id with the same canonical form.
+def buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """fingerprint, z (a canonical form, compressed), group_id (the smallest id with it), forms (how many share the fingerprint).
 
-    Documents are bucketed by fingerprint and, inside a bucket, by the bytes of
-    the canonical form, each task sending one row for each form it has seen
-    (partial aggregation), so a bucket of any size is merged without a hot task.
+    Each task sends one row for each form it has seen (partial aggregation), so
+    a group of any size is merged without a hot task.  Equal bytes compress to
+    equal bytes, so forms are compared by their bytes.
     """
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, fingerprint string, form binary"
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, fingerprint string, z binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
-            forms = [canonical(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(f) for f in forms], pa.string()), pa.array(forms, pa.binary())], names=["id", "fingerprint", "form"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                forms = [canonical(x.as_py()) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest(f) for f in forms], pa.string()), pa.array([press(f) for f in forms], pa.binary())], names=["id", "fingerprint", "z"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = rows.mapInArrow(run, schema).groupBy("fingerprint", "form").agg(F.min("id").alias("group_id"))
+    forms = rows.mapInArrow(run, schema).groupBy("fingerprint", "z").agg(F.min("id").alias("group_id"))
+    many = forms.groupBy("fingerprint").agg(F.count("*").alias("forms"), F.min("group_id").alias("group_id"))
     # forms that share a fingerprint are told apart by their bytes; elsewhere the fingerprint says it all
-    split = first.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("group_id").alias("one"))
-    alone = split.filter("n = 1").select("fingerprint", F.col("one").alias("group_id"))
-    digests = fingerprints(docs, id_col, text_col).select(F.col(id_col).alias("id"), "fingerprint")
-    shared = first.join(split.filter("n > 1").select("fingerprint"), "fingerprint")
-    forms = rows.mapInArrow(run, schema)
-    apart = forms.join(shared, ["fingerprint", "form"]).select("id", "fingerprint", "group_id")
-    return digests.join(alone, "fingerprint").select("id", "fingerprint", "group_id").unionByName(apart).withColumnRenamed("id", id_col)
+    apart = forms.join(many.filter("forms > 1").select("fingerprint", "forms"), "fingerprint").select("fingerprint", "z", "group_id", "forms")
+    alone = many.filter("forms = 1").select("fingerprint", F.lit(None).cast("binary").alias("z"), "group_id", "forms")
+    return materialize(alone.unionByName(apart), "buckets")
+
+
+def with_groups(rows: DataFrame, found: DataFrame, text: str | None = None) -> DataFrame:
+    """``rows`` (with ``fingerprint``) and ``group_id``; where a fingerprint stands for several forms, ``text`` tells which."""
+    alone = rows.join(found.filter("forms = 1").select("fingerprint", "group_id"), "fingerprint")
+    several = found.filter("forms > 1")
+    if text is None or several.isEmpty():
+        return alone
+
+    @F.pandas_udf("binary")
+    def form(texts: pd.Series) -> pd.Series:
+        press = zstandard.ZstdCompressor(level=LEVEL).compress
+        return texts.map(lambda t: press(canonical(t)))
+
+    shared = rows.join(several.select("fingerprint").distinct(), "fingerprint", "left_semi").withColumn("z", form(F.col(text)))
+    return alone.unionByName(shared.join(several.select("fingerprint", "z", "group_id"), ["fingerprint", "z"]).drop("z"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, fingerprint, group_id: the smallest id with the same canonical form.
+
+    One row for each input row, other columns are not read.  Null text counts as
+    empty.  Rows with a null id are in the group of their form; a group without
+    any id has a null one.
+    """
+    found = buckets(docs, id_col, text_col)
+    several = found.filter("forms > 1")
+    rows = fingerprints(docs, id_col, text_col)
+    if several.isEmpty():
+        return with_groups(rows, found).select(id_col, "fingerprint", "group_id")
+    return with_groups(fingerprints(docs, id_col, text_col, keep_text=True), found, "text").select(id_col, "fingerprint", "group_id")
 
 
 def with_next(docs: DataFrame, run_pair, out_schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Apply ``run_pair(doc_id, text, next_text) -> tuple`` to each document and its successor by ascending id.
 
-    Rows are range-partitioned and sorted once.  The last row of each range
+    Rows are range-partitioned and sorted once, their texts compressed (rows of
+    one id in the order of these bytes).  The last row of each range
     waits for the first of the next one: these two rows a range are kept aside
     (there are as many as partitions, whatever the input), paired and finished.
     The last document's successor is the first one.
@@ -94,6 +133,7 @@ def with_next(docs: DataFrame, run_pair, out_schema: str, id_col: str = "doc_id"
         from pyspark import TaskContext
 
         part, before, rows = TaskContext.get().partitionId(), None, []
+        unpress = zstandard.ZstdDecompressor().decompress
         empty = (None,) * len(names)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -101,7 +141,7 @@ def with_next(docs: DataFrame, run_pair, out_schema: str, id_col: str = "doc_id"
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                now = key, text.as_py() or ""
+                now = key, unpress(text.as_py()).decode("utf-8", "surrogatepass")
                 if before is None:
                     rows.append((part, "first", *now, *empty))
                 else:
@@ -122,7 +162,16 @@ def with_next(docs: DataFrame, run_pair, out_schema: str, id_col: str = "doc_id"
     schema = to_arrow_schema(StructType.fromDDL(full))
     narrow = to_arrow_schema(StructType.fromDDL(out_schema))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(n_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=LEVEL).compress
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                b = batch.slice(lo, 1000)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)], pa.binary())], names=["doc_id", "z"])
+
+    packed = rows.mapInArrow(pack, "doc_id long, z binary")
+    ordered = packed.repartitionByRange(n_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "z")
     done = materialize(ordered.mapInArrow(run, full), "with-next")
     edges = done.filter("edge is not null").select("part", "edge", "edge_id", "edge_text")
     by_part = Window.orderBy("part")  # a row for each range partition
@@ -145,7 +194,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The edited text has its last floor(n_chars / 2) code points replaced by the
     first as many (or all) of the next document.  Null text counts as empty; of
-    an empty text nothing is replaced.  Repeated ids are ordered by text.
+    an empty text nothing is replaced.
     """
     import hashlib
 
@@ -157,3 +206,17 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return doc_id, n, edited_sha, digest(own), digest(new), likeness(own, new), likeness(own, canonical(after))
 
     return with_next(docs, pair, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", id_col, text_col)
+
+
+def grouped_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`edit_report` with ``group_id``, the smallest id of the documents with the same canonical form."""
+    report = edit_report(docs, id_col, text_col)
+    found = buckets(docs, id_col, text_col)
+    rows = with_groups(report, found)
+    several = found.filter("forms > 1")
+    if several.isEmpty():
+        return rows
+    # fingerprints that collide: their documents' groups go by id
+    groups = exact_groups(docs, id_col, text_col).join(several.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    groups = groups.select(F.col(id_col).cast("long").alias("doc_id"), "fingerprint", "group_id").dropDuplicates(["doc_id", "fingerprint"])
+    return rows.unionByName(report.join(groups, ["doc_id", "fingerprint"]))
