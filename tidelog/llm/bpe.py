@@ -15,8 +15,12 @@ of ``b``, and the arcs ``c`` stand, as of that moment, wherever arcs ``a``
 stand.  A copy is stored as a reference and its moment, and an entry of the
 transition table is resolved from these references on first use and kept.
 
-A word is encoded by following arcs whose labels spell it; the path is unique.
-Decoding emits the labels of the arcs.
+A word is encoded by one run over its symbols.  Two tables drive it: one leads
+from symbol to symbol through the labels' letters and names the labels that end
+at each place, the other tells whether a state has an arc.  The state after so
+many symbols is the target of the one arc that ends there and that the state
+where its label began has; every prefix has one path at most, so the run is
+deterministic and takes nothing back.  Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ from pyspark.sql import functions as F
 END = ""  # stands for the end-of-word suffix inside symbol strings
 #: Words kept by each Python worker; the cache is emptied when full, so memory is bounded.
 CACHE_WORDS, CACHE_PIECES = 300_000, 150_000
-#: Resolved entries of the transition table kept.
-TABLE_ENTRIES = 300_000
+#: Entries of each table that are kept once they are resolved; others are resolved whenever they are met.
+TABLE_ENTRIES = 400_000
 #: Rows and bytes of text after which a batch of results is handed on.
 OUT_ROWS, OUT_BYTES = 1024, 4 << 20
 
@@ -69,12 +73,37 @@ class Automaton:
                 dead.add(c)
             self.row_of[c], self.column_of[c], self.made[c] = b, a, rank
         self.arcs_from_start = {s: i for s, i in ids.items() if i not in dead and (i in merged or len(s.removesuffix(END)) <= 1)}
-        #: The longest label that begins with these characters (up to four).
-        self.reach: dict[str, int] = {}
-        for s in self.arcs_from_start:
-            self.reach[s[:4]] = max(self.reach.get(s[:4], 0), len(s))
         self._table: dict[int, bool] = {}
-        self._shorter: dict[int, int | None] = {}
+        self._read_labels()
+
+    def _read_labels(self) -> None:
+        """The letters of all labels as a trie with links to the longest proper suffixes, and the labels that end at each of its nodes, longest first."""
+        self.step: dict[int, int] = {}  # node << 21 | symbol to node
+        self.suffix_of, label, made = [0], [-1], [(0, 0, 0, 0)]
+        for s, token in self.arcs_from_start.items():
+            node = 0
+            for depth, c in enumerate(map(ord, s), 1):
+                after = self.step.get(node << 21 | c)
+                if after is None:
+                    after = self.step[node << 21 | c] = len(label)
+                    self.suffix_of.append(0)
+                    label.append(-1)
+                    made.append((depth, node, c, after))
+                node = after
+            label[node] = token
+        self.most_steps = len(self.step) + TABLE_ENTRIES
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(label)
+        for depth, before, c, node in sorted(made)[1:]:  # shorter ones first
+            if before:
+                self.suffix_of[node] = self._to(self.suffix_of[before], c)
+            shorter = self.ending[self.suffix_of[node]]
+            self.ending[node] = ((label[node], depth), *shorter) if label[node] >= 0 else shorter
+
+    def _to(self, node: int, c: int) -> int:
+        """The node of the longest suffix that some label continues."""
+        while (after := self.step.get(node << 21 | c)) is None and node:
+            node = self.suffix_of[node]
+        return after or 0
 
     def _is_cut(self, x: int, y: int) -> bool:
         """Whether state x lacks an arc y: it does if an original of x lost an original of y before both were copied."""
@@ -97,61 +126,43 @@ class Automaton:
         key = state << 20 | token
         found = self._table.get(key)
         if found is None:
-            if len(self._table) >= TABLE_ENTRIES:
-                self._table.clear()
-            found = self._table[key] = not self._is_cut(state, token)
-        return found
-
-    def _first(self, s: str, at: int) -> int | None:
-        arcs = self.arcs_from_start
-        for end in range(min(len(s), at + self.reach.get(s[at : at + 4], 3)), at, -1):
-            t = arcs.get(s[at:end])
-            if t is not None:
-                return t
-        return None
-
-    def _next(self, token: int) -> int | None:
-        """The longest other token that begins this one's spelling."""
-        if token in self._shorter:
-            return self._shorter[token]
-        s, found = self.spelled[token], None
-        for end in range(len(s) - 1, 0, -1):
-            found = self.arcs_from_start.get(s[:end])
-            if found is not None:
-                break
-        self._shorter[token] = found
+            found = not self._is_cut(state, token)
+            if len(self._table) < TABLE_ENTRIES:
+                self._table[key] = found
         return found
 
     def encode(self, symbols: str) -> list[int]:
         """Ids of one pre-split word, given as its base symbols."""
         if not symbols:
             return []
-        s = symbols + END if self.suffix else symbols
-        whole = self.arcs_from_start.get(s)
-        if whole is not None and self._next(whole) is None:
-            return [whole]
-        path: list[int] = []
-        at, n, lost = 0, len(s), set()
-        token = self._first(s, 0)
-        while True:
-            while token is not None:
-                end = at + len(self.spelled[token])
-                if end not in lost and (not path or self.has_arc(path[-1], token)):
+        step, ending, table, node = self.step, self.ending, self._table, 0
+        states = [-1]  # after so many symbols; -1: no path
+        for end, c in enumerate(map(ord, symbols + END if self.suffix else symbols), 1):
+            after = step.get(node << 21 | c)
+            if after is None:
+                after = self._to(node, c)
+                if len(step) < self.most_steps:
+                    step[node << 21 | c] = after
+            node, state = after, -1
+            for token, length in ending[node]:
+                if length == end:
+                    state = token
                     break
-                token = self._next(token)
-            if token is None:  # no arc spells on from here: step back
-                if not path:
-                    raise ValueError("no tokenization")
-                lost.add(at)
-                token = path.pop()
-                at -= len(self.spelled[token])
-                token = self._next(token)
-                continue
-            path.append(token)
-            at = end
-            if at == n:
-                return path
-            token = self._first(s, at)
+                before = states[end - length]
+                if before >= 0:
+                    found = table.get(before << 20 | token)
+                    if found or (found is None and self.has_arc(before, token)):
+                        state = token
+                        break
+            states.append(state)
+        path, spelled, at = [], self.spelled, len(states) - 1
+        while at:
+            if states[at] < 0:
+                raise ValueError("no tokenization")
+            path.append(states[at])
+            at -= len(spelled[states[at]])
+        path.reverse()
+        return path
 
 
 #: Words of Basic Latin and Latin-1 letters and signs, in which nothing is left to compose.
