@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.errors import Acquired, ChronicleExists, DurabilityFull, DurabilityUnavailable, DurabilityUnknown, InvalidArgument, NotAcquired, NotExist
+from tidelog.errors import Acquired, ChronicleExists, DurabilityFull, DurabilityUnavailable, DurabilityUnknown, InvalidArgument, NotAcquired, NotExist, VersionMismatch
 from tidelog.functions import records, telemetry
 from tidelog.operators import kv, replay, tail
 from tidelog.operators.catalog import without_destroyed
@@ -18,6 +18,7 @@ from tidelog.sources.archive import read_archive, write_archive
 from tidelog.sources.sinks import csv_sink
 
 CATALOG = "story string, chronicle string, op string, client long, at long"
+PROTOCOL = 1
 #: The event index starts over behind this number.
 LAST_INDEX = 2**31 - 1
 
@@ -95,6 +96,18 @@ class Store:
         #: Takes rows and a time limit; raises TimeoutError or OSError if it can't tell whether they were stored.
         self.send: Callable[[list[tuple], int], None] = lambda rows, timeout_ms: self.append_rows(rows)
 
+    @classmethod
+    def connect(cls, spark: SparkSession, path: str, client_id: int = 1, version: int = PROTOCOL) -> Store:
+        """A client of the store at ``path``, which is made for this protocol version if it is new and must be of it otherwise."""
+        store = cls(spark, path, client_id)
+        if store._exists("protocol"):
+            made_for = spark.read.schema("version int").json(f"{store.path}/protocol").head()[0]
+            if made_for != version:
+                raise VersionMismatch(f"the store speaks version {made_for}, the client {version}")
+        else:
+            spark.createDataFrame([(version,)], "version int").coalesce(1).write.json(f"{store.path}/protocol")
+        return store
+
     # -- catalog
 
     def _operations(self) -> DataFrame:

@@ -129,6 +129,11 @@ def acceptance_end(chunk_end: Column, tier: str = "keeper") -> Column:
     return chunk_end + TIERS[tier][1] * SECOND
 
 
+def sealed(held: DataFrame, now_ns: Column, tier: str = "keeper") -> DataFrame:
+    """Chunks whose acceptance window has passed by the clock; a late event only ever lengthens the window."""
+    return held.filter(now_ns > acceptance_end(F.col("chunk_end"), tier))
+
+
 def freeable(status: DataFrame, now_ns: Column, visibility_delay_ns: int) -> DataFrame:
     """Chunks that may leave memory: shipped, receipt settled, persisted up to their end, out of the tail, not queued, and visible long enough."""
     return status.filter(

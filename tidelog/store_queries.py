@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from tidelog.sources.manifest import ManifestTail, read_manifest
 from tidelog.sources.workspace import new_path
 from tidelog.streaming.ingest import read_stream, start_ingest
 from tidelog.streaming.pubsub import Subscriptions
+from tidelog.streaming.telemetry import start_poll
 
 NOW = {"availableNow": True}
 
@@ -125,6 +127,24 @@ def error_codes(spark, sf_dir):
     return spark.createDataFrame([(c, k.__doc__ is not None or k.__name__ != "") for c, k in BY_CODE.items()], "code int, named boolean")
 
 
+@query("SELECT * FROM (VALUES ('first', 0), ('second', 0), ('other version', -13), ('left', 0)) t(client, code)")
+def connect(spark, sf_dir):
+    """Two clients of one store, one of another protocol version, and one that leaves with stories acquired."""
+    path, got = new_path(spark, "store"), []
+    for name, client, version in (("first", 1, 1), ("second", 2, 1), ("other version", 3, 2)):
+        try:
+            Store.connect(spark, path, client, version)
+            got.append((name, 0))
+        except EventLogError as e:
+            got.append((name, e.code))
+    store = Store.connect(spark, path)
+    store.create_chronicle("c")
+    store.acquire_story("c", "s").log_event("buffered")
+    store.disconnect()
+    got.append(("left", len(store.holders("c", "s")) + 1 - store.replay("c", "s").count()))
+    return spark.createDataFrame(got, "client string, code int")
+
+
 # -- facades
 
 
@@ -184,6 +204,27 @@ def topic_poll(spark, sf_dir):
     return spark.createDataFrame([(*x, stopped) for x in seen], "timestamp long, payload string, stopped_once boolean")
 
 
+@query("SELECT 'click,chronicle=events,story=click value=' || user_id || '.0 ' || epoch_us(ts) * 1000 AS line FROM events WHERE event_type = 'click' UNION ALL SELECT 'error,chronicle=events,story=error value=' || user_id || '.0 ' || epoch_us(ts) * 1000 FROM events WHERE event_type = 'error'")
+def telemetry_poll(spark, sf_dir):
+    """Two rounds over two stories' telemetry as it arrives; a round that the sink refuses comes again."""
+    log, path, refusals = read_events(spark, sf_dir, record=F.col("user_id").cast("string")), new_path(spark, "telemetry"), [1]
+
+    def send(lines: DataFrame) -> None:
+        if refusals:
+            refusals.pop()
+            raise OSError("not now")
+        lines.write.mode("append").text(f"{path}/lines")
+
+    for part in (F.col("event_index") % 3 != 0, F.col("event_index") % 3 == 0):
+        log.filter(part).write.mode("append").parquet(f"{path}/in")
+        for _ in range(2):  # the second time for the round that was refused
+            try:
+                start_poll(read_stream(spark, f"{path}/in"), ["click", "error"], send, f"{path}/position", NOW).awaitTermination()
+            except StreamingQueryException:
+                continue
+    return spark.read.text(f"{path}/lines").select(F.col("value").alias("line"))
+
+
 # -- archive
 
 
@@ -356,6 +397,13 @@ def story_retirement(spark, sf_dir):
     return windows.retirement(states, F.lit(500 * SECOND)).select("story", "exit_time", "retired")
 
 
+@query(EV + f"SELECT story, event_time - event_time % {HOUR} AS chunk_start, count(*) AS events FROM ev WHERE event_time - event_time % {HOUR} + {HOUR} + 60 * {SECOND}::BIGINT < {MID + HOUR} GROUP BY ALL")
+def acceptance_seal(spark, sf_dir):
+    """Chunks that are sealed by a moment of the clock."""
+    held = windows.chunks(read_events(spark, sf_dir), HOUR)
+    return windows.sealed(held, F.lit(MID + HOUR), "grapher").select("story", "chunk_start", "events")
+
+
 @query(EV + f"SELECT chronicle, story, event_time - event_time % {HOUR} AS chunk_start, count(*) AS events FROM ev WHERE story = 'click' AND event_time >= {MID} GROUP BY ALL")
 def orphan_recovery(spark, sf_dir):
     """Late events of a retired story are sealed as recovery chunks; of a destroyed or a living one none are."""
