@@ -345,7 +345,7 @@ def test_fingerprint_collisions_are_told_apart(spark, monkeypatch):
     press = zstandard.ZstdCompressor(level=fingerprint.LEVEL).compress
     found = found.withColumn("z", F.when(F.col("group_id") == 1, F.lit(press(b"a"))).when(F.col("group_id") == 2, F.lit(press(b"b"))))
     docs = spark.createDataFrame([(1, "same", "A"), (2, "same", "b "), (3, "other", "c"), (4, "same", " a")], "doc_id long, fingerprint string, text string")
-    assert {r["doc_id"]: r["group_id"] for r in rows(fingerprint.with_groups(docs, found, "text"))} == {1: 1, 2: 2, 3: 3, 4: 1}
+    assert {r["doc_id"]: r["group_id"] for r in rows(fingerprint.with_groups(docs, found, text="text"))} == {1: 1, 2: 2, 3: 3, 4: 1}
 
 
 def test_groups_of_rows_without_an_id(spark):

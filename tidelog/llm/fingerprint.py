@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -23,6 +24,8 @@ from tidelog.llm.store import materialize, n_partitions
 
 #: Compression of texts and forms that are shuffled.
 LEVEL = 1
+#: Hex digits of a fingerprint that name a bit of the filter; it has two bits for each.
+PLACE = 6
 
 
 def canonical(text: str | None) -> bytes:
@@ -61,14 +64,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
-def buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _met_twice(digests: DataFrame) -> np.ndarray:
+    """A Bloom filter of the fingerprints that occur more than once, as 64-bit words; its size is fixed (2 MB)."""
+    often = digests.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1")
+    place = lambda at: F.conv(F.substring("fingerprint", at, PLACE), 16, 10).cast("long")
+    bits = often.select(F.explode(F.array(place(1), place(1 + PLACE))).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
+    out = np.zeros(1 << (4 * PLACE - 6), np.int64)
+    for r in words.toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
+
+
+def buckets(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """fingerprint, z (a canonical form, compressed), group_id (the smallest id with it), forms (how many share the fingerprint).
 
-    Each task sends one row for each form it has seen (partial aggregation), so
-    a group of any size is merged without a hot task.  Equal bytes compress to
-    equal bytes, so forms are compared by their bytes.
+    ``digests`` has the documents' fingerprints.  Only forms whose fingerprint is
+    met twice (or passes for it in the filter) are sent, and each task sends one
+    row for each form it has seen (partial aggregation), so a group of any size
+    is merged without a hot task.  Equal bytes compress to equal bytes, so forms
+    are compared by their bytes.  Fingerprints met once may be missing.
     """
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, fingerprint string, z binary"
+    schema, filled = f"id {docs.schema[id_col].dataType.simpleString()}, fingerprint string, z binary", _met_twice(digests)
+
+    def often(fingerprint: str) -> bool:
+        places = int(fingerprint[:PLACE], 16), int(fingerprint[PLACE : 2 * PLACE], 16)
+        return all(int(filled[p >> 6]) >> (p & 63) & 1 for p in places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=LEVEL).compress
@@ -76,7 +97,9 @@ def buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 forms = [canonical(x.as_py()) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest(f) for f in forms], pa.string()), pa.array([press(f) for f in forms], pa.binary())], names=["id", "fingerprint", "z"])
+                marks = [digest(f) for f in forms]
+                at = [k for k, m in enumerate(marks) if often(m)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array([marks[k] for k in at], pa.string()), pa.array([press(forms[k]) for k in at], pa.binary())], names=["id", "fingerprint", "z"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     forms = rows.mapInArrow(run, schema).groupBy("fingerprint", "z").agg(F.min("id").alias("group_id"))
@@ -87,11 +110,17 @@ def buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return materialize(alone.unionByName(apart), "buckets")
 
 
-def with_groups(rows: DataFrame, found: DataFrame, text: str | None = None) -> DataFrame:
-    """``rows`` (with ``fingerprint``) and ``group_id``; where a fingerprint stands for several forms, ``text`` tells which."""
-    alone = rows.join(found.filter("forms = 1").select("fingerprint", "group_id"), "fingerprint")
+def with_groups(rows: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str | None = None) -> DataFrame:
+    """``rows`` (with ``fingerprint``) and ``group_id``, a row's own id where nothing else has its form.
+
+    Where a fingerprint stands for several forms, ``text`` tells which; without it such rows are left out.
+    """
+    one = found.filter("forms = 1").select(F.col("fingerprint").alias("_f"), F.col("group_id").alias("_g"))
     several = found.filter("forms > 1")
-    if text is None or several.isEmpty():
+    some = not several.isEmpty()
+    kept = rows.join(several.select("fingerprint").distinct(), "fingerprint", "left_anti") if some else rows
+    alone = kept.join(one, F.col("fingerprint") == F.col("_f"), "left").withColumn("group_id", F.coalesce("_g", id_col)).drop("_f", "_g")
+    if text is None or not some:
         return alone
 
     @F.pandas_udf("binary")
@@ -103,19 +132,18 @@ def with_groups(rows: DataFrame, found: DataFrame, text: str | None = None) -> D
     return alone.unionByName(shared.join(several.select("fingerprint", "z", "group_id"), ["fingerprint", "z"]).drop("z"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
     """``id_col``, fingerprint, group_id: the smallest id with the same canonical form.
 
     One row for each input row, other columns are not read.  Null text counts as
     empty.  Rows with a null id are in the group of their form; a group without
     any id has a null one.
     """
-    found = buckets(docs, id_col, text_col)
-    several = found.filter("forms > 1")
-    rows = fingerprints(docs, id_col, text_col)
-    if several.isEmpty():
-        return with_groups(rows, found).select(id_col, "fingerprint", "group_id")
-    return with_groups(fingerprints(docs, id_col, text_col, keep_text=True), found, "text").select(id_col, "fingerprint", "group_id")
+    if found is None:
+        found = buckets(docs, fingerprints(docs, id_col, text_col), id_col, text_col)
+    collide = not found.filter("forms > 1").isEmpty()
+    rows = fingerprints(docs, id_col, text_col, keep_text=collide)
+    return with_groups(rows, found, id_col, "text" if collide else None).select(id_col, "fingerprint", "group_id")
 
 
 def with_next(docs: DataFrame, run_pair, out_schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,12 +239,12 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def grouped_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """:func:`edit_report` with ``group_id``, the smallest id of the documents with the same canonical form."""
     report = edit_report(docs, id_col, text_col)
-    found = buckets(docs, id_col, text_col)
+    found = buckets(docs, report.select("fingerprint"), id_col, text_col)
     rows = with_groups(report, found)
     several = found.filter("forms > 1")
     if several.isEmpty():
         return rows
     # fingerprints that collide: their documents' groups go by id
-    groups = exact_groups(docs, id_col, text_col).join(several.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    groups = exact_groups(docs, id_col, text_col, found).join(several.select("fingerprint").distinct(), "fingerprint", "left_semi")
     groups = groups.select(F.col(id_col).cast("long").alias("doc_id"), "fingerprint", "group_id").dropDuplicates(["doc_id", "fingerprint"])
     return rows.unionByName(report.join(groups, ["doc_id", "fingerprint"]))
