@@ -175,11 +175,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     """
     found = materialize(line_table(docs, id_col, text_col), "lines")
     lines = repeated_stretches(found, min_words)
+    discard(found)
     levels = prefix_doubling(lines)
     runs = materialize(shortest_runs(lines, min_words), "line-runs")
     asked = runs.select("p", "len").join(common_prefixes(lines, levels), "p")
     # copies of one run stand together; where fewer than its lines are shared with the suffix before, an interval begins
     asked = _in_parts(asked.select("p", "len", "r", (F.col("lcp") < F.col("len")).alias("begins")), "run-order", "len", "r", "p")
+    discard(lines, *levels[1:])
     start = F.when(F.col("begins"), F.col("place"))
     carry = _carried(asked, F.max(start), "carry")
     inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
